@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftworks.llm import canonical, names
+from siftworks.llm import canonical, leaks, mixing, names, textform
 from siftworks.session import table
 
 
@@ -39,5 +39,33 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_value_map, p5_found, p5_entities)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return textform.look_alike_pairs(table(spark, d, "documents")).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    return textform.forms(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_value_map, p5_found, p5_entities, p6_found, p6_stretches, p7_mix, p7_shares, p8_found, p8_forms)}
 SQL: dict[str, str] = {}
