@@ -5,7 +5,8 @@ Arrow-batched; the string pairs come from blocked or broadcast joins, so each ba
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections import Counter
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -33,23 +34,53 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not total else 200.0 * common_length(a, b) / total
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with any window of the longer one, cut windows at both ends included."""
+@lru_cache(100_000)
+def _letters(s: str) -> Counter:
+    return Counter(s)
+
+
+def _shared(a: str, b: str) -> int:
+    """Letters in common, an upper bound of the common length."""
+    x, y = _letters(a), _letters(b)
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(n if n < y[c] else y[c] for c, n in x.items() if c in y)
+
+
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the shorter string with any window of the longer one, cut windows at both ends included; 0 where that is below `least`."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, best = len(a), 0.0
-    letters = set(a)
+    n = len(a)
+    if 200.0 * _shared(a, b) / (2 * n) < least and n > 1:
+        # Even with all letters in common in one window; cut windows are shorter and have no more of them.
+        cut = max((200.0 * k / (n + k) for k in range(1, n) if k <= _shared(a, b)), default=0.0)
+        if cut < least:
+            return 0.0
+    open_letters, shared, bounds = dict(_letters(a)), 0, []
+    # Letters in common of the window, kept up to date as it moves: they bound the common subsequence.
     for start in range(1 - n, len(b)):
-        window = b[max(0, start) : start + n]
-        # The best window starts and ends with a letter of the shorter string unless it is cut.
-        if not window or (window[-1] not in letters and start + n <= len(b)):
-            continue
-        best = max(best, ratio(a, window))
-        if best == 100.0:
+        end = start + n
+        if end <= len(b):
+            c = b[end - 1]
+            if c in open_letters:
+                open_letters[c] -= 1
+                shared += open_letters[c] >= 0
+        if start > 0:
+            c = b[start - 1]
+            if c in open_letters:
+                open_letters[c] += 1
+                shared -= open_letters[c] > 0
+        low, high = max(0, start), min(len(b), end)
+        bounds.append((200.0 * shared / (n + high - low), low, high))
+    best = 0.0
+    for bound, low, high in sorted(bounds, reverse=True):
+        if bound <= best or bound < least:
             break
-    return best
+        best = max(best, ratio(a, b[low:high]))
+    return best if best >= least else 0.0
 
 
 def _tokens(s: str) -> list[str]:
@@ -74,25 +105,36 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(common, full_x), ratio(common, full_y)) if common else best
 
 
-def partial_token_ratio(a: str, b: str) -> float:
+def partial_token_ratio(a: str, b: str, least: float = 0.0) -> float:
     """The better partial ratio of sorted words and of words not in common; 100 where a word is common."""
     x, y = set(a.split()), set(b.split())
     if x & y:
         return 100.0
-    return max(partial_ratio(" ".join(_tokens(a)), " ".join(_tokens(b))), partial_ratio(" ".join(sorted(x - y)), " ".join(sorted(y - x))))
+    # Without common words both forms differ at most in repeated words.
+    whole = partial_ratio(" ".join(_tokens(a)), " ".join(_tokens(b)), least)
+    return whole if len(x) == len(a.split()) and len(y) == len(b.split()) else max(whole, partial_ratio(" ".join(sorted(x)), " ".join(sorted(y)), least))
 
 
 @lru_cache(200_000)
-def weighted_ratio(a: str, b: str) -> float:
-    """The best of the plain, token and, for strings of unequal length, partial ratios, each with its weight; 0 where a string is empty."""
+def weighted_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best of the plain, token and, for strings of unequal length, partial ratios, each with its weight; 0 where a string is empty or the result is below `least`."""
     if not a or not b:
         return 0.0
     lengths = max(len(a), len(b)) / min(len(a), len(b))
-    best = ratio(a, b)
+    # No plain ratio can exceed what the letters in common allow.
+    most = 200.0 * _shared(a, b) / (len(a) + len(b))
+    best = ratio(a, b) if most >= least else 0.0
     if lengths < 1.5:
-        return max(best, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
+        if best < 95.0:
+            # A set ratio of common words alone needs a common word; the others are bounded like the plain ratio.
+            if most >= least - 10 or set(a.split()) & set(b.split()):
+                best = max(best, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
+        return best if best >= least else 0.0
     scale = 0.9 if lengths <= 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+    best = max(best, scale * partial_ratio(a, b, least / scale))
+    if 95.0 * scale > max(best, least):
+        best = max(best, 0.95 * scale * partial_token_ratio(a, b, least / (0.95 * scale)))
+    return best if best >= least else 0.0
 
 
 def _column(score):
@@ -104,5 +146,12 @@ def _column(score):
 
 
 weighted_ratio_of = _column(weighted_ratio)
+
+
+def weighted_ratio_from(least: float):
+    """As `weighted_ratio_of`, 0 below `least`, which saves most of the work."""
+    return _column(partial(weighted_ratio, least=least))
+
+
 token_set_ratio_of = _column(token_set_ratio)
 ratio_of = _column(ratio)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.documents import cosine
-from siftworks.functions.similarity import token_set_ratio_of, weighted_ratio_of
+from siftworks.functions.similarity import token_set_ratio_of, weighted_ratio_from
 from siftworks.functions.text import DESCRIPTORS, normal, plural_variants, without_words
+from siftworks.session import cut, task_slots
 
 FUZZY, FUZZY_TASK, NAME_SCORE, WEIGHT_STEP, LEAST_KEY, TOP = 80.0, 88.0, 60.0, 8.0, 3, 20
 VECTOR_TIERS = (0.75, 0.65)
@@ -31,9 +32,10 @@ def pool(display: DataFrame, groups: DataFrame) -> DataFrame:
     return both.filter(F.length("label") >= LEAST_KEY)
 
 
-def scored(terms: DataFrame, labels: DataFrame, text: str = "term") -> DataFrame:
-    """Every term with its TOP nearest labels. The labels are the vocabulary; the broadcast nested loop scores terms x labels in Arrow batches."""
-    pairs = terms.crossJoin(F.broadcast(labels)).withColumn("points", weighted_ratio_of(normal(F.col(text)), F.col("label")))
+def scored(terms: DataFrame, labels: DataFrame, text: str = "term", least: float = FUZZY) -> DataFrame:
+    """Every term with its TOP nearest labels of at least `least` points. The labels are the vocabulary; the broadcast nested loop scores terms x labels in Arrow batches."""
+    spread = terms.repartition(task_slots(terms.sparkSession), "term")
+    pairs = spread.crossJoin(F.broadcast(labels)).withColumn("points", weighted_ratio_from(least)(normal(F.col(text)), F.col("label")))
     w = Window.partitionBy("term").orderBy(F.desc("points"), F.desc(F.length("label")), "label")
     return pairs.filter("points > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= TOP)
 
@@ -42,11 +44,11 @@ def fuzzy(terms: DataFrame, labels: DataFrame, least: float = FUZZY) -> DataFram
     """(term, code, score): the best label (the longest of equals) if it passes its weight-adjusted threshold. A best label of weight below a half is generic: the
     term without descriptive words is scored again, and every label that passes its own threshold and isn't short gives its codes."""
     need = F.lit(least) + (F.lit(1.0) - F.col("weight")) * WEIGHT_STEP
-    near = scored(terms.select("term").distinct(), labels).withColumn("need", need)
+    near = cut(scored(terms.select("term").distinct(), labels, least=least).withColumn("need", need))
     best = near.filter("place = 1").filter((F.col("points") >= F.lit(least)) & (F.col("points") >= F.col("need")))
     clear = best.filter("weight >= 0.5").select("term", F.explode("codes").alias("code"), (F.col("points") / 100).alias("score"))
     vague = best.filter("weight < 0.5").select("term", F.col("codes").alias("own"), F.col("points").alias("own_points"), without_words(normal(F.col("term")), DESCRIPTORS).alias("core"))
-    again = scored(vague, labels, "core").withColumn("need", need)
+    again = scored(vague, labels, "core", least).withColumn("need", need)
     wide = again.filter((F.col("points") >= F.col("need")) & (F.length("label") >= F.greatest(F.floor(F.length("core") / 2), F.lit(5))))
     spread = wide.select("term", F.explode("codes").alias("code"), (F.col("points") / 100).alias("score")).groupBy("term", "code").agg(F.max("score").alias("score"))
     kept = vague.join(spread.select("term").distinct(), "term", "left_anti").select("term", F.explode("own").alias("code"), (F.col("own_points") / 100).alias("score"))
@@ -59,7 +61,7 @@ def bridge(terms: DataFrame, constructs: DataFrame, measures: DataFrame, least:
     `constructs` is (label, codes) as from `group_terms` or `pool`; `measures` (construct, task_code)."""
     same = terms.select("term", normal(F.col("term")).alias("label")).join(constructs.select("label", "codes"), "label").select("term", "codes", F.lit(1.0).alias("score"))
     left = terms.join(same.select("term"), "term", "left_anti")
-    near = scored(left.select("term").distinct(), constructs).filter(F.col("place") == 1).filter(F.col("points") >= least).select("term", "codes", (F.col("points") / 100).alias("score"))
+    near = scored(left.select("term").distinct(), constructs, least=least).filter(F.col("place") == 1).filter(F.col("points") >= least).select("term", "codes", (F.col("points") / 100).alias("score"))
     found = same.unionByName(near).select("term", "score", F.explode("codes").alias("construct")).join(measures, "construct")
     return found.groupBy("term", F.col("task_code").alias("code")).agg(F.max("score").alias("score"))
 

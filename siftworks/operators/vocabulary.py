@@ -129,9 +129,9 @@ def without_listed(synonyms: DataFrame, removals: DataFrame) -> DataFrame:
 
 
 def unique_slugs(names: DataFrame) -> DataFrame:
-    """(name, slug): slugs of names, later ones with `_1`, `_2`, ... where they collide, in order of position."""
+    """(position, name, slug): slugs of names, later ones with `_1`, `_2`, ... where they collide, in order of position."""
     w = Window.partitionBy("_s").orderBy("position")
-    return names.withColumn("_s", slug(F.col("name"))).withColumn("_n", F.row_number().over(w) - 1).select("name", F.when(F.col("_n") == 0, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), F.col("_n").cast("string"))).alias("slug"))
+    return names.withColumn("_s", slug(F.col("name"))).withColumn("_n", F.row_number().over(w) - 1).select("position", "name", F.when(F.col("_n") == 0, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), F.col("_n").cast("string"))).alias("slug"))
 
 
 def graph(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
