@@ -66,7 +66,7 @@ NAMES = {
 }
 MONTH_NAMES = ("month", "mth", "mo", "mon", "monat", "monate")
 _PREFIXABLE = frozenset({"s", "g", "m", "A", "K", "T", "G", "rad", "Hz", "V"})
-_TOKEN = re.compile(r"\s*(?:(?P<num>[0-9]+)|(?P<word>[^\W\d_]+|°[CF]?)|(?P<op>\*\*|[\^*/·()−-])|(?P<sup>[⁻]?[¹²³]))")
+_TOKEN = re.compile(r"\s*(?:(?P<num>[0-9]+)|(?P<word>[^\W\d_¹²³]+|°[CF]?)|(?P<op>\*\*|[\^*/·()−-])|(?P<sup>[⁻]?[¹²³]))")
 
 
 def _word(word: str) -> Unit | None:

@@ -38,7 +38,8 @@ def closure(pairs: DataFrame, roots: DataFrame | None = None, most: int = 1000)
         frontier = cut(reached.join(seen, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        # A union of checkpointed levels: nothing is computed again.
+        seen = seen.unionByName(frontier)
     raise ValueError(f"more than {most} levels")
 
 
@@ -52,7 +53,7 @@ def depths(pairs: DataFrame, most: int = 1000) -> DataFrame:
         new = cut(ready.select(F.col("child").alias("node"), (F.col("d") + 1).alias("depth")).join(settled.select("node"), "node", "left_anti"))
         if new.isEmpty():
             break
-        settled = cut(settled.unionByName(new))
+        settled = settled.unionByName(new)
     return nodes.join(settled, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

@@ -1,4 +1,7 @@
-"""Query plans to DataFrames. Every condition is a semi or anti join on dataset keys or a predicate on the dataset row; Catalyst picks the join strategy."""
+"""Query plans to DataFrames.
+
+Conditions on the dataset row are predicates. All existence and absence tests on objects become flags of one aggregation per dataset, those on participants likewise,
+so each fact table is read once and only one row per dataset and task is shuffled. Catalyst picks the join strategy."""
 
 from __future__ import annotations
 
@@ -66,8 +69,27 @@ def scan_condition(scan: Scan) -> Column:
     return _any(tests) if scan.any_field else _all(tests)
 
 
-def _keep(datasets: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    return datasets.join(keys.select(F.col("dataset_id").alias("_key")), F.col("id") == F.col("_key"), how)
+def _keep(datasets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Datasets among the keys. Keys are made distinct before they meet the datasets: partial aggregation leaves one row per dataset and task."""
+    return datasets.join(keys.select(F.col("dataset_id").alias("_key")).distinct(), F.col("id") == F.col("_key"), "left_semi")
+
+
+def _flags(facts: DataFrame, conditions: list[Column]) -> DataFrame:
+    """(_key, f0, f1, ...): which conditions any row of a dataset meets, all in one pass over the fact table and one small shuffle."""
+    met = facts.filter(_any(conditions)).groupBy(F.col("dataset_id").alias("_key"))
+    return met.agg(*[F.max(c).alias(f"f{i}") for i, c in enumerate(conditions)])
+
+
+def _require(datasets: DataFrame, facts: DataFrame, tests: list[tuple[Column, bool]], combine=_all) -> DataFrame:
+    """Datasets with a row that meets each wanted condition and none that meets an unwanted one."""
+    if not tests:
+        return datasets
+    flags = _flags(facts, [c for c, _ in tests])
+    held = [F.coalesce(F.col(f"f{i}"), F.lit(False)) for i in range(len(tests))]
+    wanted = combine([h if need else ~h for h, (_, need) in zip(held, tests)])
+    # Where every condition is wanted, datasets without any matching row can't pass.
+    how = "inner" if all(need for _, need in tests) else "left"
+    return datasets.join(flags, F.col("id") == F.col("_key"), how).filter(wanted).drop("_key", *[f"f{i}" for i in range(len(tests))])
 
 
 def cohort_keys(cat: Catalogue, cohort: Cohort) -> DataFrame:
@@ -151,25 +173,24 @@ def base(plan: QueryPlan, cat: Catalogue) -> DataFrame:
     """Datasets that satisfy every condition of the plan, whole rows."""
     plan.validate()
     datasets = cat.datasets.filter(_all(row_conditions(plan)))
+    sized = [c for c in plan.cohorts if c.min_participants]
     if plan.cohorts and plan.disease_fallback:
         datasets = _with_disease_fallback(plan, cat, datasets)
-    elif plan.cohorts and plan.cohort_operator == "OR":
-        keys = reduce(lambda a, b: a.unionByName(b), [cohort_keys(cat, c).select("dataset_id") for c in plan.cohorts])
-        datasets = _keep(datasets, keys)
+    elif sized and plan.cohort_operator == "OR":
+        datasets = _keep(datasets, reduce(lambda a, b: a.unionByName(b), [cohort_keys(cat, c).select("dataset_id") for c in plan.cohorts]))
     else:
-        for cohort in plan.cohorts:
+        for cohort in sized:
             datasets = _keep(datasets, cohort_keys(cat, cohort))
+        present = [(cohort_condition(c), True) for c in plan.cohorts if not c.min_participants]
+        datasets = _require(datasets, cat.participants, present, _any if plan.cohort_operator == "OR" else _all)
+    tests = [(scan_condition(s), s.required) for s in plan.scans if not (s.required and s.same_subject)]
+    if plan.metadata:
+        # All tests on one object.
+        tests.append((_all([json_test(F.col("other_entities"), m) for m in plan.metadata]), True))
+    datasets = _require(datasets, cat.objects, tests)
     together = [s for s in plan.scans if s.required and s.same_subject]
-    for s in plan.scans:
-        if not s.required:
-            datasets = _keep(datasets, cat.objects.filter(scan_condition(s)), "left_anti")
-        elif not s.same_subject:
-            datasets = _keep(datasets, cat.objects.filter(scan_condition(s)))
     if together:
         datasets = _keep(datasets, same_subject_keys(cat, together))
-    if plan.metadata:
-        # All tests on one object.
-        datasets = _keep(datasets, cat.objects.filter(_all([json_test(F.col("other_entities"), m) for m in plan.metadata])))
     if plan.min_sessions:
         datasets = _keep(datasets, session_keys(cat, plan.min_sessions))
     if plan.comparison:
