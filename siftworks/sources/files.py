@@ -69,7 +69,7 @@ def read_json_object(spark: SparkSession, path: str) -> DataFrame:
 
 def read_logs(spark: SparkSession, folder: str, since: int | None = None, pattern: str = "crawl_*.log") -> DataFrame:
     """(job, line_no, line) of log files, the job being the number in the file name; `since` keeps jobs from that one on. Lines are numbered within files as they are read."""
-    df = spark.read.option("pathGlobFilter", pattern).option("wholetext", "true").text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    df = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     job = F.coalesce(F.regexp_extract("file", r"(\d+)", 1).try_cast("long"), F.lit(0))
     lines = df.select(job.alias("job"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     return lines.filter(F.col("job") >= since) if since is not None else lines
