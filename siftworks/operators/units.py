@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.operators.wide import as_text, attribute_key, is_missing, members
+from siftworks.session import spread
 
 #: Base dimensions, in the order of the exponent vectors.
 DIMENSIONS = ("time", "mass", "length", "current", "temperature", "angle")
@@ -309,7 +310,7 @@ def convert_members(records: DataFrame, json_column: str, units: dict[str, Quant
             yield _batch(out)
 
     source = records.select(F.col(id_column).cast("string").alias("record"), F.col(json_column).alias("text")).filter(F.col("text").isNotNull())
-    return source.mapInArrow(run, CONVERTED).distinct()
+    return spread(source).mapInArrow(run, CONVERTED).distinct()
 
 
 #: Sentences about ages in a dataset's texts. The unit pattern allows no digit between "age" and the unit, so ranges and follow-up times don't match.

@@ -47,3 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
 def task_slots(spark: SparkSession) -> int:
     """Tasks to aim for in one wave: the shuffle partition setting, which a deployment sizes to its cluster and data."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan before row-wise Python work: with fewer partitions than cores its rows are dealt out, else it stays as it is.
+
+    Only small or badly split inputs move; a large table has more splits than there are cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
