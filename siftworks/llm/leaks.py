@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.llm.textform import _TO_LATIN, IGNORABLE, LOOK_ALIKE_MARKS
+from siftworks.session import spread
 
 #: Words of a stretch at least, words per error, and errors granted beyond that ("about one word in six").
 LEAST_WORDS, WORDS_PER_ERROR, SLACK = 20, 6, 0.25
@@ -252,7 +253,7 @@ def shared_sentences(docs: DataFrame, block: list[str], text_column: str, n_docs
 
     if not block:
         return []
-    texts = docs.select(F.col(text_column).alias("text")).filter(F.col("text").isNotNull())
+    texts = spread(docs.select(F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
     counted = texts.mapInPandas(run, "sentence int, n long").groupBy("sentence").agg(F.sum("n").alias("n"))
     # At most one row per sentence of the item block comes back.
     return [block[r["sentence"]] for r in counted.filter(F.col("n") >= max(SHARED_DOCS, SHARED_PART * n_docs)).collect()]
@@ -274,7 +275,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
     schema = FOUND.format(*kinds)
     listed = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_id, item_text).toLocalIterator()]
     n_docs = docs.count()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull())
+    texts = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
     out = None
     for block in _blocks(listed, block_words):
         shared = tuple(sorted(shared_sentences(docs, list(dict.fromkeys(s for _, t in block for s in sentences(t))), text_column, n_docs)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftworks.session import cut
+from siftworks.session import cut, spread
 
 #: The byte-level pattern of the vocabulary is read from the tokenizer package; this is its module and the vocabulary's file.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -80,7 +80,7 @@ def prefix_sums(df: DataFrame, group: str, value: str, order: list[Column]) -> D
 
 
 def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str, tokenizer: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.col(text_column).alias("text")).select("id", "source", token_counter(tokenizer)("text").alias("tokens"))
+    return spread(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.col(text_column).alias("text"))).select("id", "source", token_counter(tokenizer)("text").alias("tokens"))
 
 
 def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None = None) -> tuple[dict[str, float], int]:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftworks.session import spread
+
 #: Letters of one shape. Each entry is Latin, Cyrillic, Greek; `-` where a script has none.
 LOOK_ALIKES = """
 AАΑ BВΒ CС- EЕΕ HНΗ IІΙ JЈ- KКΚ MМΜ N-Ν OОΟ PРΡ SЅ- TТΤ XХΧ YҮΥ Z-Ζ
@@ -88,7 +90,8 @@ def normalise(text: Column) -> Column:
 
 def with_keys(docs: DataFrame, text_column: str, id_column: str) -> DataFrame:
     """(id, raw, seen, form): digests of the text as stored, of its appearance and of its consistent form. NULL texts are left out."""
-    forms = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull()).withColumn("f", _forms("text"))
+    texts = spread(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
+    forms = texts.withColumn("f", _forms("text"))
     return forms.select("id", F.sha2("text", 256).alias("raw"), F.sha2("f.seen", 256).alias("seen"), F.sha2("f.form", 256).alias("form"))
 
 
@@ -107,4 +110,4 @@ def look_alike_pairs(docs: DataFrame, text_column: str = "text", id_column: str
 
 def forms(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, form, changed) of every document: its text in the consistent form and whether that differs from the text as stored."""
-    return docs.select(F.col(id_column), normalise(F.col(text_column)).alias("form"), F.col(text_column).alias("_raw")).select(id_column, "form", (~F.col("form").eqNullSafe(F.col("_raw"))).alias("changed"))
+    return spread(docs.select(id_column, text_column)).select(F.col(id_column), normalise(F.col(text_column)).alias("form"), F.col(text_column).alias("_raw")).select(id_column, "form", (~F.col("form").eqNullSafe(F.col("_raw"))).alias("changed"))
