@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftworks.functions.documents import dot
 from siftworks.functions.similarity import weighted_ratio_of
 from siftworks.functions.text import JUNK_PATTERNS, first_match, without_separators
+from siftworks.operators.vectors import pairs_above
 
 #: Severities of collisions by score.
 SEVERITIES = ((100.0, "CRITICAL"), (95.0, "HIGH"), (90.0, "MEDIUM"))
@@ -106,9 +106,7 @@ def fuzzy_collisions(terms: DataFrame, least: float = 90.0) -> DataFrame:
 
 def vector_collisions(vectors: DataFrame, least: float = VECTOR_COLLISION) -> DataFrame:
     """(id_a, id_b, cosine) of normalised vectors (id, vector, group) of one group, id_a < id_b."""
-    a = vectors.select("group", F.col("id").alias("id_a"), F.col("vector").alias("va"))
-    b = vectors.select("group", F.col("id").alias("id_b"), F.col("vector").alias("vb"))
-    return a.join(b, "group").filter("id_a < id_b").withColumn("cosine", dot(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least).select("id_a", "id_b", "cosine")
+    return pairs_above(vectors, least).withColumnRenamed("score", "cosine")
 
 
 def synonym_weights(terms: DataFrame, texts: DataFrame) -> DataFrame:

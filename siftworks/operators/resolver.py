@@ -101,7 +101,8 @@ def live_and_missing(codes: DataFrame, data: DataFrame, column: str) -> DataFram
 
 def names(terms: DataFrame, listed: DataFrame, least: float = NAME_SCORE, most: int = TOP) -> DataFrame:
     """(term, name, score): names of a list whose words agree with the term's, without regard to case, best first, at most `most`."""
-    pairs = terms.select("term").distinct().crossJoin(F.broadcast(listed.select("name"))).withColumn("points", token_set_ratio_of(F.lower("term"), F.lower("name")))
+    # The list grows with the data, the terms asked for don't.
+    pairs = listed.select("name").distinct().crossJoin(F.broadcast(terms.select("term").distinct())).withColumn("points", token_set_ratio_of(F.lower("term"), F.lower("name")))
     w = Window.partitionBy("term").orderBy(F.desc("points"), "name")
     return pairs.filter(F.col("points") >= least).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("term", "name", (F.col("points") / 100).alias("score"), "place")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions import documents
-from siftworks.operators import curation, evaluation, ingest, resolver, vocabulary
+from siftworks.operators import curation, evaluation, ingest, resolver, vectors, vocabulary
 from siftworks.session import table
 from siftworks.streaming import flows
 
@@ -163,10 +163,8 @@ _COS = "list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE *
 @_query(f"SELECT q.vec_id AS query_id, max_by(v.vec_id, ({_COS}, -v.vec_id)) AS vec_id FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id GROUP BY q.vec_id")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """For every vector whose id is divisible by 20, the nearest of all others."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = q.join(e, F.col("query_id") != F.col("vec_id")).withColumn("score", documents.dot(F.col("q"), F.col("v")))
-    return pairs.groupBy("query_id").agg(F.max_by("vec_id", F.struct("score", (-F.col("vec_id")).alias("n"))).alias("vec_id"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.nearest(e.filter("id % 20 = 0"), e).select("query_id", F.col("id").alias("vec_id"))
 
 
 @_query("SELECT a.vec_id AS id_a, b.vec_id AS id_b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) >= 0.35")
@@ -305,6 +303,11 @@ def eval_by_group(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.by_group(_judged(spark, d), "variant", ["listed", "coded"])
 
 
+@_query(f"WITH {_JUDGED} SELECT count(*) AS n, round(avg(listed), 3) AS listed FROM j")
+def eval_overall_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.by_group(_judged(spark, d), "variant", ["listed"]).filter("variant = 'overall'").select("n", "listed")
+
+
 @_query(f"WITH {_JUDGED} SELECT CASE WHEN age / 100 >= 0 AND age / 100 < 0.5 THEN '[0.0,0.5)' WHEN age / 100 >= 0.5 AND age / 100 < 0.7 THEN '[0.5,0.7)' WHEN age / 100 >= 0.7 AND age / 100 < 0.9 THEN '[0.7,0.9)' WHEN age / 100 >= 0.9 AND age / 100 < 1.01 THEN '[0.9,1.0]' ELSE 'unmatched' END AS bucket, count(*) AS n, round(avg(listed), 3) AS accuracy FROM j GROUP BY 1")
 def calibration_buckets(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.calibration(_judged(spark, d).withColumn("c", F.col("age") / 100), "c", "listed")
@@ -364,6 +367,13 @@ def first_per_key(spark: SparkSession, d: str) -> DataFrame:
     return curation.first_errors(lines)
 
 
+@_query("SELECT CASE WHEN value < 5 THEN 'JSON decode' WHEN value < 20 THEN 'timeout' ELSE 'other' END AS category, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+def ag25_error_counts(spark: SparkSession, d: str) -> DataFrame:
+    message = F.when(F.col("value") < 5, "JSON broke").when(F.col("value") < 20, "a Timeout").otherwise("odd")
+    lines = table(spark, d, "events").filter("event_type = 'error'").select(F.concat(F.lit("[FAIL] ds"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit(" | "), message, F.lit(" | indexed=0")).alias("value"))
+    return flows.classified_errors(lines).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("SELECT p_name AS from_name, max_by(p_partkey, (p_retailprice, -p_partkey)) AS best FROM part GROUP BY p_name")
 def best_match_per_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_name").alias("from_name")).agg(F.max_by("p_partkey", F.struct("p_retailprice", (-F.col("p_partkey")).alias("n"))).alias("best"))

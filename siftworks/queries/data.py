@@ -61,7 +61,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_participants_wide, p2_objects_wide, p3_found, p3_dataset_counts, p4_found, p4_common_units)}
 
+_MISSING = "('', 'n/a', 'na', 'nan', 'none', 'unknown', '-')"
+
 SQL = {
+    "p2_found": f"""
+        WITH defs AS (SELECT owner_kind, attr_name, data_type, lower(regexp_replace(s, '[\\s_-]', '', 'g')) AS k FROM (SELECT owner_kind, attr_name, data_type, unnest(list_append(also_written, attr_name)) AS s FROM attribute_defs)),
+        texts AS (SELECT 'participant' AS kind, id, extra AS t FROM bids_participants UNION SELECT 'object', id, other_entities FROM bids_objects),
+        objects AS (SELECT kind, id, CASE WHEN json_type(t) = 'OBJECT' THEN t END AS t FROM (SELECT kind, id, CASE WHEN json_valid(t) THEN t END AS t FROM texts) WHERE t IS NOT NULL),
+        members AS (SELECT kind, id, t, unnest(json_keys(t)) AS name FROM objects WHERE t IS NOT NULL),
+        given AS (SELECT kind, id, name, trim(json_extract_string(t, '$."' || name || '"'), ' \t\n\r') AS v FROM members UNION ALL SELECT owner_kind, owner_id, attr_name, trim(raw_value, ' \t\n\r') FROM attribute_rows),
+        judged AS (SELECT g.kind, g.id, d.attr_name, CASE d.data_type
+              WHEN 'int' THEN regexp_full_match(v, '[+-]?[0-9]+(\\.0+)?')
+              WHEN 'double' THEN regexp_full_match(v, '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?')
+              WHEN 'boolean' THEN lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f', '1', '0')
+              WHEN 'date' THEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{8}}|[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}}') AND try_strptime(v, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%d.%m.%Y']) IS NOT NULL
+              ELSE true END AS fits
+            FROM given g JOIN defs d ON d.owner_kind = g.kind AND d.k = lower(regexp_replace(g.name, '[\\s_-]', '', 'g')) WHERE v IS NOT NULL AND lower(v) NOT IN {_MISSING})
+        SELECT id AS owner_id, attr_name FROM judged GROUP BY kind, id, attr_name HAVING NOT bool_or(fits)""",
     "p3_found": "SELECT dataset_id FROM bids_objects WHERE dataset_id IS NOT NULL GROUP BY dataset_id HAVING count(*) >= 0.04 * (SELECT count(*) FROM bids_objects)",
     "p3_dataset_counts": """
         SELECT o.dataset_id, n_rows, n_files, n_subjects, n_tasks, accession_id

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftworks.functions import documents
 from siftworks.operators import resolver
-from siftworks.plans import ranking
+from siftworks.plans import ranking, sqltext
 from siftworks.plans.catalogue import Catalogue, contains_text, result
 from siftworks.plans.compiler import base, cohort_condition, compile_plan, scan_condition
 from siftworks.plans.plan import Cohort, Comparison, Family, MetadataFilter, QueryPlan, Scan, ScoredCode
@@ -257,3 +257,18 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
     out = Catalogue(spark, d).objects.select("id", documents.number(F.col("other_entities"), "VoxelVolume").alias("volume"))
     return out.filter((F.col("volume") > 25) & ~F.isnan("volume")).distinct()
+
+
+_TEXT = """[SQL]
+SELECT d.id, d.name, COUNT(DISTINCT o.subject) AS subject_count
+FROM bids_datasets d LEFT JOIN bids_objects o ON o.dataset_id = d.id AND o.subject IS NOT NULL
+WHERE EXISTS (SELECT 1 FROM bids_objects x WHERE x.dataset_id = d.id AND x.task = 'rest_group' AND (x.other_entities->>'SliceCount')::float >= 30)
+  AND o.suffix = 'bold' AND d.doi IS NOT NULL AND 'Rebecca Nanvahid' = ANY(d.authors)
+GROUP BY d.id HAVING COUNT(DISTINCT o.subject) > 1;
+[/SQL]"""
+
+
+@_query("sql_front_end", f"""WITH {_D} SELECT d.id, coalesce(sc.n, 0) AS subject_count FROM d LEFT JOIN sc ON sc.dataset_id = d.id WHERE sc.n > 1 AND d.doi IS NOT NULL AND list_contains(d.authors, 'Rebecca Nanvahid')
+    AND EXISTS (SELECT 1 FROM bids_objects o WHERE o.dataset_id = d.id AND o.task IN ('quiet_rest', 'QR', 'Quiet rest') AND TRY_CAST({_J.format('SliceCount')} AS DOUBLE) >= 30)""")
+def _front_end(spark: SparkSession, d: str) -> DataFrame:
+    return sqltext.run(_TEXT, Catalogue(spark, d), {"rest_group": ["quiet_rest", "QR", "Quiet rest"]}).select("id", "subject_count")

@@ -4,7 +4,7 @@ import pytest
 from conftest import DATA, rows
 from pyspark.sql import functions as F
 
-from siftworks.plans import ranking
+from siftworks.plans import ranking, sqltext
 from siftworks.plans.catalogue import PROJECTION, Catalogue, contains_text
 from siftworks.plans.compiler import base, compile_plan, drop_vague, fallback_word, json_test, stem, summary
 from siftworks.plans.plan import Cohort, Comparison, Family, MetadataFilter, QueryPlan, Scan, ScoredCode, from_json, to_json
@@ -138,3 +138,27 @@ def test_like_escapes(spark):
 def test_filters_reach_the_scan(spark):
     plan = base(QueryPlan(Family.MULTIMODAL, scans=(Scan(datatype=("anat",)), Scan(datatype=("func",)))), Catalogue(spark, DATA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and "datatype" in plan.split("PushedFilters")[-1] and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("answer,sql", [("x\n[SQL] SELECT 1; [/SQL] y", "SELECT 1"), ("```sql\nWITH a AS (SELECT 1) SELECT * FROM a\n```", "WITH a AS (SELECT 1) SELECT * FROM a"), ("Here:\nSELECT 1\nFROM d\n\nDone.", "SELECT 1\nFROM d"), ("nothing", None), ("```\nls\n```", None)])
+def test_sql_extraction(answer, sql):
+    assert sqltext.extract(answer) == sql
+
+
+@pytest.mark.parametrize("sql,expected", [
+    ("SELECT 1 FROM d WHERE o.task = 'rest' AND d.doi IS NOT NULL", "SELECT 1 FROM d WHERE d.doi IS NOT NULL"), ("SELECT 1 FROM d WHERE (o.suffix = 'x') GROUP BY d.id", "SELECT 1 FROM d GROUP BY d.id"), ("SELECT 1 FROM d WHERE o.task IN ('x')", "SELECT 1 FROM d WHERE o.task IN ('x')"),
+    ("SELECT 1 FROM d WHERE o.task = 'a' OR d.x = 1", "SELECT 1 FROM d WHERE o.task = 'a' OR d.x = 1"), ("SELECT 1 FROM d WHERE EXISTS (SELECT 1 FROM o WHERE o.task = 'a')", "SELECT 1 FROM d WHERE EXISTS (SELECT 1 FROM o WHERE o.task = 'a')"), ("SELECT 1 FROM d WHERE d.a BETWEEN 1 AND 2 AND o.task = 'a'", "SELECT 1 FROM d WHERE d.a BETWEEN 1 AND 2"),
+    ("SELECT 1 FROM p WHERE p2.diagnosis = 'g'", "SELECT 1 FROM p WHERE p2.diagnosis IN ('a', 'b')"), ("SELECT 1 FROM p WHERE diagnosis NOT IN ('g', 'c')", "SELECT 1 FROM p WHERE diagnosis NOT IN ('a', 'b', 'c')"), ("SELECT 'task = ''g''' FROM p", "SELECT 'task = ''g''' FROM p"),
+    ("SELECT 1 FROM o2 WHERE o2.task ILIKE '%Cognitive%'", "SELECT 1 FROM o2 WHERE TRUE"), ("SELECT 1 FROM o2 WHERE o2.task ILIKE '%film%'", "SELECT 1 FROM o2 WHERE o2.task IN ('f1', 'f2')"), ("SELECT 1 FROM d WHERE 'v' = ANY(d.authors)", "SELECT 1 FROM d WHERE array_contains(d.authors, 'v')"), ("SELECT 1 FROM d WHERE d.a && ARRAY['x','y'] AND TRUE", "SELECT 1 FROM d WHERE arrays_overlap(d.a, array('x', 'y')) AND TRUE"),
+])
+def test_sql_rewrites(sql, expected):
+    assert sqltext.rewrite(sql, {"g": ["a", "b"]}, {"film": ["f1", "f2"]}).sql == expected
+
+
+def test_sql_runs_with_bound_words(cat):
+    got = sqltext.run("SELECT {{COLS}} FROM bids_datasets d WHERE d.doi IS NULL OR d.doi = '' ORDER BY d.name", cat, unresolved=["the Sleep", "it's%"])
+    assert got.count() == 0
+    got = sqltext.run("SELECT d.* FROM bids_datasets d LEFT JOIN bids_objects o ON o.dataset_id = d.id GROUP BY d.id HAVING COUNT(DISTINCT o.subject) >= 2", cat, unresolved=["sleep"])
+    assert [(r["id"], r["subject_count"]) for r in got.orderBy("id").collect()] == [("a", 2), ("c", 2)]
+    with pytest.raises(ValueError):
+        sqltext.run("DROP TABLE x", cat)
