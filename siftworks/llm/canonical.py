@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftworks.session import cut
+
 UNMATCHED = "unmatched"
 #: Edits allowed by the length of the undecorated reference string: (from length, edits).
 EDITS = ((0, 0), (4, 1), (6, 2), (10, 3), (16, 4))
@@ -248,13 +250,14 @@ def map_values(values: DataFrame, vocabulary: DataFrame, lay_names: dict[str, di
     NULL and blank values are left out. Values without a letter (numbers, marks) mean no entry unless an entry is spelt so. Ties between entries are
     unmatched. An empty vocabulary leaves every value unmatched; an empty input gives no rows; values of any length are compared whole.
     """
-    distinct = values.filter(F.col("value").isNotNull() & ~is_blank(F.col("value"))).select("field", "value").distinct()
+    # The distinct values are few and used by every step; so are the references. Cutting their lineage keeps the plan small and the sources read once.
+    distinct = cut(values.filter(F.col("value").isNotNull() & ~is_blank(F.col("value"))).select("field", "value").distinct())
     tokens = distinct.withColumn("t", words(F.col("value")))
     forms = tokens.select("field", "value", F.explode(F.array_distinct(F.array(joined(F.col("t")), joined(plain(F.col("t"), F.col("field")))))).alias("form")).filter("form <> ''")
-    refs = references(vocabulary, lay_names).persist()
+    refs = cut(references(vocabulary, lay_names))
     # Exact forms, sorted words included; where the forms of a value mean different entries, the one with most letters wins.
     ordered = tokens.select("field", "value", joined(F.array_sort(plain(F.col("t"), F.col("field")))).alias("form")).filter("form <> ''")
-    same = forms.unionByName(ordered).join(refs.select("field", "form", "code"), ["field", "form"]).groupBy("field", "value").agg(F.max_by("code", F.length("form")).alias("code"), F.lit(0).alias("distance"))
+    same = cut(forms.unionByName(ordered).join(refs.select("field", "form", "code"), ["field", "form"]).groupBy("field", "value").agg(F.max_by("code", F.length("form")).alias("code"), F.lit(0).alias("distance")))
     rest = forms.filter(F.col("form").rlike("[a-z]")).join(same, ["field", "value"], "left_anti")
     # Bounded by the vocabulary: one row per field, length and k.
     lengths = refs.filter("k > 0").select("field", F.length("form").alias("l"), "k").distinct()
@@ -263,7 +266,7 @@ def map_values(values: DataFrame, vocabulary: DataFrame, lay_names: dict[str, di
     near = pairs.withColumn("distance", F.levenshtein("typed", "form")).filter("distance <= k").groupBy("field", "value", "code").agg(F.min("distance").alias("distance"))
     best = near.groupBy("field", "value").agg(F.min(F.struct("distance", "code")).alias("b"), F.collect_list(F.struct("distance", "code")).alias("all"))
     fuzzy = best.filter(F.size(F.filter("all", lambda x: x["distance"] == F.col("b.distance"))) == 1).select("field", "value", F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
-    matched = same.unionByName(fuzzy)
+    matched = cut(same.unionByName(fuzzy))
     left = distinct.join(matched, ["field", "value"], "left_anti").select("field", "value", F.lit(UNMATCHED).alias("code"), F.lit(None).cast("int").alias("distance"))
     return matched.unionByName(left)
 
