@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,27 @@ def build_session(app: str = "siftworks", master: str | None = None, **conf: str
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's modules to the executors, once per application: Python workers import them wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_siftworks_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siftworks-package-")) / "siftworks-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for module in sorted(root.rglob("*.py")):
+            z.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._siftworks_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

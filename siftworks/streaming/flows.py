@@ -74,26 +74,27 @@ def classified_errors(lines: DataFrame) -> DataFrame:
     return found.filter(~is_restricted(F.col("message"))).withColumn("category", error_category(F.col("message")))
 
 
-class ExpiringCount(StatefulProcessor):
-    """Uses per key within a time to live: the count starts again when the state expires."""
+def _expiring_count(ttl_ms: int) -> StatefulProcessor:
+    """Uses per key within a time to live: the count starts again when the state expires. A local class travels with its code: the
+    driver-side worker of a stateful stream doesn't see shipped modules."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    class ExpiringCount(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.count = handle.getValueState("count", StructType([StructField("n", LongType())]), ttlDurationMs=ttl_ms)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", StructType([StructField("n", LongType())]), ttlDurationMs=self.ttl_ms)
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+            n = self.count.get()[0] if self.count.exists() else 0
+            for pdf in rows:
+                n += len(pdf)
+            self.count.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "used": [n]})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        for pdf in rows:
-            n += len(pdf)
-        self.count.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "used": [n]})
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return ExpiringCount()
 
 
 def expiring_counts(events: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
-    """(user_id, used) per micro-batch, by keyed state that expires."""
-    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=ExpiringCount(ttl_ms), outputStructType="user_id long, used long", outputMode="Update", timeMode="ProcessingTime")
+    """(user_id, used) per micro-batch, by keyed state that expires. Needs the RocksDB state store."""
+    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=_expiring_count(ttl_ms), outputStructType="user_id long, used long", outputMode="Update", timeMode="ProcessingTime")

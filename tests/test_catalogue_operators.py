@@ -194,6 +194,16 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(path).count() == batch.select("user_id").distinct().count()
 
 
+def test_expiring_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = flows.file_stream(spark, DATA, "events.parquet", spark.read.parquet(f"{DATA}/events.parquet").schema)
+    q = flows.expiring_counts(source).writeStream.format("memory").queryName("x1").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "x1")).start()
+    q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    expected = rows(spark.read.parquet(f"{DATA}/events.parquet").groupBy("user_id").agg(F.count("*").alias("used")))
+    assert rows(spark.table("x1")) == expected
+
+
 def test_quota(spark):
     e = spark.createDataFrame([(1, "2024-01-01 10:00:00")] * 3 + [(2, "2024-01-01 10:00:00")] * 3 + [(1, "2024-01-02 00:00:00")], "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert rows(flows.daily_quota(e, 2, [2]), "user_id", "used", "rejected") == [(1, 1, 0), (1, 3, 1), (2, 3, 0)]
