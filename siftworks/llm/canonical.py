@@ -19,14 +19,20 @@ from siftworks.session import cut
 
 UNMATCHED = "unmatched"
 #: Edits allowed by the length of the undecorated reference string: (from length, edits).
-EDITS = ((0, 0), (4, 1), (6, 2), (10, 3), (16, 4))
-MOST_EDITS = max(k for _, k in EDITS)
+EDITS = ((0, 0), (4, 1), (6, 2), (10, 3), (14, 4))
+#: Lay names shorter than this match exactly only: so few letters are within an edit of unrelated words.
+LEAST_FUZZY_LAY_NAME = 5
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 #: Accented letters and their plain forms.
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
+#: Letters from which on word order is disregarded.
+LEAST_SORTED = 4
+#: Compact forms that mean no entry whatever they look like.
+PLACEHOLDERS = ("na", "nan", "none", "null", "unknown", "unspecified", "missing", "tbd", "notasked", "declined", "excluded", "notavailable", "notapplicable", "other", "seenotes")
+
 #: Words people write before or after a value of a field.
 DECORATIONS = {
     "diagnosis": {"before": ["dx", "pt with", "1"], "after": ["patient", "confirmed"]},
@@ -207,8 +213,10 @@ def references(vocabulary: DataFrame, lay_names: dict[str, dict[str, str]] = LAY
     entries = listed.select("field", "code").distinct()
     extra = spark.createDataFrame(lay, "field string, code string, name string").join(F.broadcast(entries), ["field", "code"], "left_semi").select("field", "code", "name", F.lit(1).alias("rank"))
     base = listed.filter(F.col("name").isNotNull()).unionByName(extra).withColumn("t", words(F.col("name"))).filter(joined(F.col("t")) != "")
-    base = base.withColumn("t", F.explode(F.array_distinct(F.array("t", plain(F.col("t"), F.col("field"))))))
-    ordered = F.array_distinct(_orders(F.col("t")))
+    # Lay names that lose a word keep three letters at least: "an" or "bn" alone mean nothing.
+    bare = plain(F.col("t"), F.col("field"))
+    base = base.withColumn("t", F.explode(F.array_distinct(F.when((F.col("rank") == 0) | (F.length(joined(bare)) >= 3), F.array(F.col("t"), bare)).otherwise(F.array("t")))))
+    ordered = F.array_distinct(F.when(F.length(joined(F.col("t"))) >= LEAST_SORTED, _orders(F.col("t"))).otherwise(F.array("t")))
     forms = base.select(
         "field", "code", "rank",
         F.explode(F.concat(
@@ -220,8 +228,10 @@ def references(vocabulary: DataFrame, lay_names: dict[str, dict[str, str]] = LAY
     ).select("field", "code", "rank", "f.*")
     ranked = forms.withColumn("rank", F.col("rank") + 2 * F.col("via")).groupBy("field", "form", "code").agg(F.min("rank").alias("rank"), F.min("n").alias("n"))
     best = ranked.groupBy("field", "form").agg(F.min("rank").alias("rank"))
-    alone = ranked.join(best, ["field", "form", "rank"]).groupBy("field", "form").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("codes"), F.min("n").alias("n"))
-    return alone.filter("codes = 1").select("field", "form", "code", edits(F.col("n")).alias("k"))
+    alone = ranked.join(best, ["field", "form", "rank"]).groupBy("field", "form").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("codes"), F.min("n").alias("n"), F.min("rank").alias("rank"))
+    # Ranks of lay names are odd.
+    k = F.when((F.col("rank") % 2 == 1) & (F.col("n") < LEAST_FUZZY_LAY_NAME), 0).otherwise(edits(F.col("n")))
+    return alone.filter("codes = 1").select("field", "form", "code", k.alias("k"))
 
 
 def _segments(refs: DataFrame) -> DataFrame:
@@ -253,17 +263,23 @@ def map_values(values: DataFrame, vocabulary: DataFrame, lay_names: dict[str, di
     # The distinct values are few and used by every step; so are the references. Cutting their lineage keeps the plan small and the sources read once.
     distinct = cut(values.filter(F.col("value").isNotNull() & ~is_blank(F.col("value"))).select("field", "value").distinct())
     tokens = distinct.withColumn("t", words(F.col("value")))
+    tokens = tokens.filter(~joined(F.col("t")).isin(*PLACEHOLDERS))
     forms = tokens.select("field", "value", F.explode(F.array_distinct(F.array(joined(F.col("t")), joined(plain(F.col("t"), F.col("field")))))).alias("form")).filter("form <> ''")
     refs = cut(references(vocabulary, lay_names))
     # Exact forms, sorted words included; where the forms of a value mean different entries, the one with most letters wins.
-    ordered = tokens.select("field", "value", joined(F.array_sort(plain(F.col("t"), F.col("field")))).alias("form")).filter("form <> ''")
+    ordered = tokens.select("field", "value", joined(F.array_sort(plain(F.col("t"), F.col("field")))).alias("form")).filter(F.length("form") >= LEAST_SORTED)
     same = cut(forms.unionByName(ordered).join(refs.select("field", "form", "code"), ["field", "form"]).groupBy("field", "value").agg(F.max_by("code", F.length("form")).alias("code"), F.lit(0).alias("distance")))
-    rest = forms.filter(F.col("form").rlike("[a-z]")).join(same, ["field", "value"], "left_anti")
+    # Values of decorating words alone, such as "test", are near to nothing.
+    bare = tokens.filter(F.forall("t", lambda w: F.array_contains(_stop_words(F.col("field")), w))).select("field", "value")
+    rest = forms.filter(F.col("form").rlike("[a-z]")).join(bare, ["field", "value"], "left_anti").join(same, ["field", "value"], "left_anti")
     # Bounded by the vocabulary: one row per field, length and k.
     lengths = refs.filter("k > 0").select("field", F.length("form").alias("l"), "k").distinct()
     segments, probes = _segments(refs), _probes(rest, lengths)
     pairs = probes.join(segments, ["field", "l", "k", "i", "segment"]).select("field", "value", "typed", "form", "code", "k").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("typed", "form")).filter("distance <= k").groupBy("field", "value", "code").agg(F.min("distance").alias("distance"))
+    # In the shortest strings a swap of two letters counts as one edit.
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swap = (F.col("k") == 1) & (F.col("distance") == 2) & (letters("typed") == letters("form"))
+    near = pairs.withColumn("distance", F.levenshtein("typed", "form")).filter((F.col("distance") <= F.col("k")) | swap).groupBy("field", "value", "code").agg(F.min("distance").alias("distance"))
     best = near.groupBy("field", "value").agg(F.min(F.struct("distance", "code")).alias("b"), F.collect_list(F.struct("distance", "code")).alias("all"))
     fuzzy = best.filter(F.size(F.filter("all", lambda x: x["distance"] == F.col("b.distance"))) == 1).select("field", "value", F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
     matched = cut(same.unionByName(fuzzy))

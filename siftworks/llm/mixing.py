@@ -23,6 +23,8 @@ from siftworks.session import cut, spread
 #: The byte-level pattern of the vocabulary is read from the tokenizer package; this is its module and the vocabulary's file.
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SEED = 20_240_501
+#: Offsets beyond this number aren't broadcast (about 30 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 @lru_cache(2)
@@ -75,7 +77,9 @@ def prefix_sums(df: DataFrame, group: str, value: str, order: list[Column]) -> D
         rows.append((r["part"], r[group], before.get(r[group], 0)))
         before[r[group]] = before.get(r[group], 0) + r["total"]
     offsets = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("o_part", T.IntegerType()), T.StructField("o_group", local.schema[group].dataType), T.StructField("offset", T.LongType())]))
-    joined = local.join(F.broadcast(offsets), (F.col("part") == F.col("o_part")) & F.col(group).eqNullSafe(F.col("o_group")))
+    # Very many partitions and groups: a plain join.
+    side = F.broadcast(offsets) if len(rows) <= BROADCAST_ROWS else offsets
+    joined = local.join(side, (F.col("part") == F.col("o_part")) & F.col(group).eqNullSafe(F.col("o_group")))
     return joined.select(*df.columns, (F.col("running") + F.col("offset")).alias("running"))
 
 
