@@ -30,8 +30,8 @@ from siftworks.session import spread
 LEAST_WORDS, WORDS_PER_ERROR, SLACK = 20, 6, 0.25
 #: Words of the runs that the automaton looks for. A stretch of 20 words with 4 errors keeps a run of 4.
 RUN = 4
-#: Hits of runs that make a candidate: a stretch of L words with E errors has at least L - E - (RUN - 1) * (E + 1).
-LEAST_HITS = 3
+#: Hits of runs that make a candidate: a stretch of L words with E errors has at least L - E - (RUN - 1) * (E + 1), which is 4 or more from 20 words on.
+LEAST_HITS = 4
 #: A sentence is shared from this part of all documents, and this number of documents, on.
 SHARED_PART, SHARED_DOCS = 0.01, 4
 #: Words of items in one automaton; more items are scanned for in blocks of that size.
@@ -125,35 +125,36 @@ def without(tokens: list[str], spans: list, shared: ahocorasick.Automaton) -> tu
     return [tokens[i] for i in keep], [spans[i] for i in keep]
 
 
-def longest_stretch(item: list[str], doc: list[str], low: int, high: int) -> tuple[int, int, int, int] | None:
+def longest_stretch(item: list[str], doc: list[str], low: int, high: int, least: int = 0) -> tuple[int, int, int, int] | None:
     """(item words, errors, first doc word, last doc word + 1) of the longest stretch of the item aligned within doc[low:high] at the error rate allowed; None if none."""
     part = doc[low:high]
-    # One entry per step of the alignment: (item words, errors, first doc word, end doc word).
+    blocks = SequenceMatcher(None, item, part, autojunk=False).get_matching_blocks()[:-1]
+    if sum(n for _, _, n in blocks) < least - least // WORDS_PER_ERROR - 1:
+        return None
+    # One step per pair, replaced, dropped or added word: (item words, errors, first doc word, end doc word).
     steps: list[tuple[int, int, int, int]] = []
-    a0 = b0 = None
-    for a, b, n in SequenceMatcher(None, item, part, autojunk=False).get_matching_blocks():
-        if n == 0:
-            break
-        if a0 is not None:
-            gap_a, gap_b = a - a0, b - b0
-            for i in range(max(gap_a, gap_b)):
-                steps.append((int(i < gap_a), 1, b0, b))
+    a0, b0, _ = blocks[0]
+    for a, b, n in blocks:
+        steps += [(int(i < a - a0), 1, b0, b) for i in range(max(a - a0, b - b0))]
         steps += [(1, 0, b + i, b + i + 1) for i in range(n)]
         a0, b0 = a + n, b + n
-    best = None
-    total = [(0, 0)]
+    held, debt = [0], [0.0]
     for w, e, _, _ in steps:
-        total.append((total[-1][0] + w, total[-1][1] + e))
-    for i in range(len(steps)):
-        if steps[i][1]:
+        held.append(held[-1] + w)
+        debt.append(debt[-1] + e - w / WORDS_PER_ERROR)
+    # The longest stretch from i to j with debt[j] - debt[i] within the slack: starts with a higher debt than all before them, tried against ends from the right.
+    starts: list[int] = []
+    for i, step in enumerate(steps):
+        if not step[1] and (not starts or debt[i] > debt[starts[-1]]):
+            starts.append(i)
+    best = None
+    for j in range(len(steps), 0, -1):
+        if steps[j - 1][1]:
             continue
-        for j in range(len(steps), i, -1):
-            n, e = total[j][0] - total[i][0], total[j][1] - total[i][1]
-            if best and n <= best[0]:
-                break
-            if not steps[j - 1][1] and e <= n / WORDS_PER_ERROR + SLACK:
-                best = (n, e, low + steps[i][2], low + steps[j - 1][3])
-                break
+        while starts and (starts[-1] >= j or debt[j] - debt[starts[-1]] <= SLACK + 1e-9):
+            i = starts.pop()
+            if i < j and (best is None or held[j] - held[i] > best[0]):
+                best = (held[j] - held[i], sum(e for _, e, _, _ in steps[i:j]), low + steps[i][2], low + steps[j - 1][3])
     return best
 
 
@@ -192,7 +193,7 @@ class Scanner:
                 continue
             best = None
             for low, high in self._windows(found, len(item), len(tokens)):
-                got = longest_stretch(item, tokens, low, high)
+                got = longest_stretch(item, tokens, low, high, least)
                 if got and got[0] >= least and (best is None or got[0] > best[0]):
                     best = got
             if best:
@@ -202,22 +203,19 @@ class Scanner:
 
     @staticmethod
     def _windows(found: list[tuple[int, int]], n_item: int, n_doc: int) -> list[tuple[int, int]]:
-        """Document windows around groups of hits that could belong to one copy of the item."""
-        reach = n_item + n_item // WORDS_PER_ERROR + 1
-        places = sorted({p for p, _ in found})
-        groups, start = [], 0
-        for i in range(1, len(places) + 1):
-            if i == len(places) or places[i] - places[i - 1] > reach:
-                if i - start >= min(LEAST_HITS, max(1, n_item - RUN + 1)):
-                    groups.append((max(0, places[start] - reach), min(n_doc, places[i - 1] + reach)))
-                start = i
-        # A group longer than two copies of the item is cut into overlapping windows, each wide enough for a whole copy.
-        out = []
-        for low, high in groups:
-            if high - low <= 4 * reach:
-                out.append((low, high))
-            else:
-                out += [(at, min(high, at + 3 * reach)) for at in range(low, max(low + 1, high - reach), reach)]
+        """Document windows where a copy of the item could lie. Hits of one copy differ in their diagonal (document place less item place) by no more than the errors; a
+        stretch has LEAST_HITS of them within its first words at the error rate."""
+        errors = n_item // WORDS_PER_ERROR + 2
+        need, near = min(LEAST_HITS, max(1, n_item - RUN + 1)), LEAST_WORDS + 2 * WORDS_PER_ERROR
+        by_diagonal = sorted((p - q, p) for p, q in found)
+        out, start = [], 0
+        for i in range(1, len(by_diagonal) + 1):
+            if i < len(by_diagonal) and by_diagonal[i][0] - by_diagonal[i - 1][0] <= errors:
+                continue
+            places = sorted({p for _, p in by_diagonal[start:i]})
+            if any(places[k + need - 1] - places[k] <= near for k in range(len(places) - need + 1)):
+                out.append((max(0, by_diagonal[start][0] - errors), min(n_doc, by_diagonal[i - 1][0] + n_item + errors)))
+            start = i
         return out
 
 
