@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftworks.session import spread
+from siftworks.session import cut, spread
 
 #: Letters of one shape. Each entry is Latin, Cyrillic, Greek; `-` where a script has none.
 LOOK_ALIKES = """
@@ -101,7 +101,8 @@ def look_alike_pairs(docs: DataFrame, text_column: str = "text", id_column: str
     Identical texts are no pair. NULL texts are left out, empty texts only meet texts that look empty; repeated rows give their pair once; an empty
     input gives no rows; other columns aren't read; texts are compared whole. Documents are grouped by digests; text never moves. Groups with one spelling,
     however many copies they hold, are dropped before pairs are made."""
-    keys = with_keys(docs, text_column, id_column).distinct()
+    # Narrow digests, written once: the texts are read and worked on a single time.
+    keys = cut(with_keys(docs, text_column, id_column).distinct())
     several = keys.groupBy("form", "seen").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).filter("low <> high").select("form", "seen")
     kept = keys.join(several, ["form", "seen"], "left_semi")
     a, b = (kept.select("form", "seen", F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
