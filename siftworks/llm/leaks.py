@@ -2,8 +2,8 @@
 
 Two scans with Aho-Corasick automata, each over every text once:
 
-1. over the sentences of all items, to count in how many documents each sentence stands. Sentences that many documents share are no item text and are
-   taken out of items and documents alike;
+1. over the sentences of all items, to count in how many documents each sentence stands, copies and near copies of a document counting once. Sentences that many
+   documents share are no item text and are taken out of items and documents alike, if they also stand in unlike items or in documents without the rest of the item;
 2. over the word runs of the remaining item texts. An edit-tolerant stretch always keeps some of them unchanged, so their hits place every candidate;
    the words around the hits are aligned with the item and the longest stretch within the error rate decides.
 
@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.llm.textform import _TO_LATIN, IGNORABLE, LOOK_ALIKE_MARKS
-from siftworks.session import spread
+from siftworks.session import cut, spread
 
 #: Words of a stretch at least, words per error, and errors granted beyond that ("about one word in six").
 LEAST_WORDS, WORDS_PER_ERROR, SLACK = 20, 6, 0.25
@@ -32,8 +34,10 @@ LEAST_WORDS, WORDS_PER_ERROR, SLACK = 20, 6, 0.25
 RUN = 4
 #: Hits of runs that make a candidate: a stretch of L words with E errors has at least L - E - (RUN - 1) * (E + 1), which is 4 or more from 20 words on.
 LEAST_HITS = 4
-#: A sentence is shared from this part of all documents, and this number of documents, on.
+#: A sentence is shared from this part of all distinct texts, and this number of documents, on.
 SHARED_PART, SHARED_DOCS = 0.01, 4
+#: Bands of least hashes of a text's word pairs, and hashes per band: near copies, with about 0.7 of their word pairs in common, agree in a band.
+BANDS, BAND_HASHES = 6, 5
 #: Words of items in one automaton; more items are scanned for in blocks of that size.
 BLOCK_WORDS = 2_000_000
 
@@ -236,25 +240,92 @@ def _blocks(items: list[tuple[object, str]], limit: int) -> list[list[tuple[obje
     return [b for b in out if b]
 
 
-def shared_sentences(docs: DataFrame, block: list[str], text_column: str, n_docs: int) -> list[str]:
-    """The sentences that stand in at least SHARED_PART of all documents; counted over every document."""
-    patterns = {s: i for i, s in enumerate(block)}
+_PRIME = (1 << 31) - 1
+_FACTORS, _OFFSETS = np.random.default_rng(6).integers(1, _PRIME, (2, BANDS * BAND_HASHES, 1), dtype=np.uint64)
+
+
+def bands(tokens: list[str]) -> list[int]:
+    """One number per band; texts that agree in one are near copies."""
+    pairs = {f"{a} {b}" for a, b in zip(tokens, tokens[1:])} or set(tokens) or {""}
+    hashes = np.fromiter((zlib.crc32(p.encode("utf-8", "surrogatepass")) % _PRIME for p in pairs), np.uint64, len(pairs))
+    least = np.full(BANDS * BAND_HASHES, _PRIME, np.uint64)
+    for at in range(0, len(hashes), 10_000):
+        least = np.minimum(least, ((_FACTORS * hashes[at : at + 10_000] + _OFFSETS) % _PRIME).min(axis=1))
+    digests = (least[i : i + BAND_HASHES].tobytes() for i in range(0, len(least), BAND_HASHES))
+    return [zlib.crc32(d) << 31 | zlib.adler32(d) & _PRIME for d in digests]
+
+
+class Sentences:
+    """The sentences of a block of items and the signs that tell item text from shared sentences."""
+
+    def __init__(self, items: list[tuple[object, str]]):
+        # Items of one text are one item.
+        self.items = [tuple(x) for x in dict.fromkeys(tuple(sentences(t)) for _, t in items)]
+        self.texts = list(dict.fromkeys(s for x in self.items for s in x))
+        number = {s: i for i, s in enumerate(self.texts)}
+        self.sizes = [s.count(" ") + 1 for s in self.texts]
+        self.held_by: list[list[int]] = [[] for _ in self.texts]
+        for j, x in enumerate(self.items):
+            for s in x:
+                self.held_by[number[s]].append(j)
+        self.totals = [sum(self.sizes[number[s]] for s in x) for x in self.items]
+        self.numbers = [frozenset(number[s] for s in x) for x in self.items]
+
+    def in_unlike_items(self, i: int) -> bool:
+        """Whether sentence i stands in two items that have less than half of their other words in common."""
+        first, *others = self.held_by[i]
+        n = self.sizes[i]
+        return any(2 * (sum(self.sizes[k] for k in self.numbers[first] & self.numbers[j]) - n) < min(self.totals[first], self.totals[j]) - n for j in others)
+
+    def beside_the_item(self, held: set[int]) -> dict[int, bool]:
+        """Sentence -> whether a document with the sentences `held` has it without a third of the other words of any item."""
+        words_of: dict[int, int] = {}
+        for i in held:
+            for j in self.held_by[i]:
+                words_of[j] = words_of.get(j, 0) + self.sizes[i]
+        return {i: not any(words_of[j] > self.sizes[i] and 3 * (words_of[j] - self.sizes[i]) >= self.totals[j] - self.sizes[i] for j in self.held_by[i]) for i in held}
+
+
+def shared_sentences(docs: DataFrame, block: list[tuple[object, str]], text_column: str, n_texts: int) -> list[str]:
+    """The sentences of the items that stand in at least SHARED_PART of all texts, copies and near copies merged, and show a second sign: they stand in unlike items,
+    or so many of the texts hold them without the rest of the item. Counted over every document."""
+    listed = Sentences(block)
+    names = [f"band_{i}" for i in range(BANDS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = automaton(patterns)
+        found = automaton({s: i for i, s in enumerate(listed.texts)})
         for pdf in batches:
-            counts: dict[int, int] = {}
+            out = []
             for text in pdf["text"]:
-                for i in {i for _, i in found.iter(_ends(words(text)[0])[0])}:
-                    counts[i] = counts.get(i, 0) + 1
-            yield pd.DataFrame({"sentence": list(counts), "n": list(counts.values())}, columns=["sentence", "n"])
-
-    if not block:
+                tokens = words(text)[0]
+                joined, ends = _ends(tokens)
+                held, gone = set(), set()
+                for end, i in found.iter(joined):
+                    held.add(i)
+                    gone.update(range(ends[end] - listed.sizes[i], ends[end]))
+                if held:
+                    own = bands([t for i, t in enumerate(tokens) if i not in gone])
+                    out += [(i, beside, *own) for i, beside in listed.beside_the_item(held).items()]
+            yield pd.DataFrame(out, columns=["sentence", "beside", *names])
+
+    if not listed.texts:
         return []
+    limit = max(SHARED_DOCS, SHARED_PART * n_texts)
     texts = spread(docs.select(F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
-    counted = texts.mapInPandas(run, "sentence int, n long").groupBy("sentence").agg(F.sum("n").alias("n"))
+    seen = texts.mapInPandas(run, "sentence int, beside boolean, " + ", ".join(f"{x} long" for x in names))
+    # Narrow rows, written once; copies of a text become one here.
+    seen = cut(seen.groupBy("sentence", *names).agg(F.max("beside").alias("beside")))
+    often = [r[0] for r in seen.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).collect()]
+    if not often:
+        return []
+    # The least label of every band's group, forth and back over the bands: near copies end with one label.
+    merged = seen.filter(F.col("sentence").isin(often)).withColumn("label", F.xxhash64(*names))
+    for x in [*names, *names[-2::-1]]:
+        merged = merged.withColumn("label", F.min("label").over(Window.partitionBy("sentence", x)))
+    counted = merged.groupBy("sentence", "label").agg(F.max("beside").alias("beside")).groupBy("sentence").agg(F.count(F.lit(1)).alias("n"), F.count_if("beside").alias("beside"))
     # At most one row per sentence of the item block comes back.
-    return [block[r["sentence"]] for r in counted.filter(F.col("n") >= max(SHARED_DOCS, SHARED_PART * n_docs)).collect()]
+    rows = counted.filter(F.col("n") >= limit).collect()
+    return [listed.texts[r["sentence"]] for r in rows if r["beside"] >= limit or listed.in_unlike_items(r["sentence"])]
 
 
 FOUND = "doc_id {0}, item_id {1}, words int, errors int, start_at int, end_at int"
@@ -272,11 +343,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
     kinds = [docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = FOUND.format(*kinds)
     listed = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_id, item_text).toLocalIterator()]
-    n_docs = docs.count()
+    n_texts = docs.agg(F.count_distinct(F.xxhash64(text_column))).first()[0] if listed else 0
     texts = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
     out = None
     for block in _blocks(listed, block_words):
-        shared = tuple(sorted(shared_sentences(docs, list(dict.fromkeys(s for _, t in block for s in sentences(t))), text_column, n_docs)))
+        shared = tuple(sorted(shared_sentences(docs, block, text_column, n_texts)))
         ready = tuple(block)
 
         def run(batches: Iterator[pd.DataFrame], ready: tuple = ready, shared: tuple = shared) -> Iterator[pd.DataFrame]:

@@ -80,6 +80,27 @@ def test_items_shorter_than_a_stretch_must_be_held_whole(spark):
     assert rows(leaks.find_leaks(df, spark.createDataFrame([(1, "Alpha beta gamma delta epsilon")], "item_id long, item_text string")), "doc_id") == [(1,)]
 
 
+FIRST, SECOND = " ".join(f"a{i}" for i in range(24)), " ".join(f"b{i}" for i in range(24))
+
+
+def test_copies_of_a_quote_do_not_make_its_sentences_shared(spark):
+    around = [f"c{i}" for i in range(60)]
+    near = {i: " ".join(["new" + str(i) if j == i else w for j, w in enumerate(around)]) + f". {FIRST}. The end" for i in range(30)}
+    # Copies, near copies that quote one sentence only, unlike documents with the whole item, and unlike documents with a sentence that is no item text.
+    docs = {**{100 + i: f"A copied page. {FIRST}. {SECOND}." for i in range(30)}, **near}
+    docs |= {200 + i: " ".join(f"d{i}x{j}" for j in range(20)) + f". {FIRST}. {SECOND}." for i in range(6)}
+    docs |= {300 + i: " ".join(f"e{i}x{j}" for j in range(20)) + f". {' '.join([SHARED] * 3)}." for i in range(6)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"{FIRST}. {SECOND}. {' '.join([SHARED] * 3)}.")], "item_id long, item_text string")
+    assert rows(leaks.find_leaks(df, items), "doc_id") == sorted(((i,) for i in docs if i < 300), key=repr)
+
+
+def test_a_block_of_sentences_in_unlike_items_and_many_documents_is_shared(spark):
+    docs = [(i, " ".join(f"d{i}x{j}" for j in range(20)) + f". {FIRST}. {SECOND}.") for i in range(6)]
+    items = spark.createDataFrame([(1, f"{FIRST}. {SECOND}. {ITEM}."), (2, f"{FIRST}. {SECOND}. {' '.join(reversed(ITEM.split()))}.")], "item_id long, item_text string")
+    assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).count() == 0
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
