@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from siftworks.session import cut
 
 PERSON, ORGANISATION = "person", "organisation"
-#: From so many distinct spellings on, each of two surnames one edit apart is a name of its own and no slip of the other.
+#: From so many distinct spellings on, the keys of two people (or organisations) whose surnames (or places) are one edit apart are names of their own and no slip of
+#: each other, unless one has this many times the spellings of the other.
 OWN_NAME_FORMS = 3
 
 #: Given names and their short forms.
@@ -234,7 +235,7 @@ def _verify(batches: Iterator[pd.DataFrame], kinds: dict[str, str]) -> Iterator[
         for field, ma, ra, mb, rb, fa, fb in zip(pdf["field_name"], pdf["main_a"], pdf["rest_a"], pdf["main_b"], pdf["rest_b"], pdf["forms_a"], pdf["forms_b"]):
             a, b = (ma, list(ra)), (mb, list(rb))
             ok = (same_person if kinds[field] == PERSON else same_organisation)(a, b)
-            keep.append(ok and (ma == mb or min(fa, fb) < OWN_NAME_FORMS))
+            keep.append(ok and (ma == mb or min(fa, fb) < OWN_NAME_FORMS or OWN_NAME_FORMS * min(fa, fb) <= max(fa, fb)))
         yield pdf.loc[keep, ["field_name", "node_a", "node_b"]]
 
 
@@ -271,8 +272,11 @@ def link(strings: DataFrame, kinds: dict[str, str]) -> DataFrame:
     swap = ~F.col("certain") & (F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0)))
     keyed = placed.select("field_name", "name", F.when(swap, F.col("t1")).otherwise(F.col("main")).alias("main"), F.when(swap, F.array("t2")).otherwise(F.col("rest")).alias("rest"))
     keyed = cut(keyed.withColumn("node", F.concat_ws("|", "field_name", "main", F.array_join("rest", " "))))
-    forms = keyed.groupBy("field_name", "main").agg(F.countDistinct("name").alias("forms"))
-    nodes = keyed.select("field_name", "node", "main", "rest").distinct().join(forms, ["field_name", "main"])
+    # Spellings per person (surname and first given name) or organisation: others of the same surname or place say nothing about a slip in this name.
+    people_of = [f for f, kind in kinds.items() if kind == PERSON]
+    keyed_by = F.when(F.col("field_name").isin(people_of), F.element_at("rest", 1)).otherwise(F.array_join("rest", " "))
+    forms = keyed.groupBy("field_name", "main", keyed_by.alias("own")).agg(F.countDistinct("name").alias("forms"))
+    nodes = keyed.select("field_name", "node", "main", "rest", keyed_by.alias("own")).distinct().join(forms, ["field_name", "main", "own"]).drop("own")
     index = nodes.select("field_name", "node", "main", "rest").mapInPandas(lambda it: _index(it, kinds), "field_name string, node string, slot string, bare boolean").distinct()
     a, b = (index.select("field_name", "slot", F.col("node").alias(f"node_{x}"), F.col("bare").alias(f"bare_{x}")) for x in "ab")
     bare = F.col("slot").startswith("i|")

@@ -41,6 +41,19 @@ def test_two_established_surnames_one_letter_apart_stay_apart(spark):
     assert linked["Ida Fafjosap"] == linked["Ida Fafjosab"] != linked["Ida Fanjosap"]
 
 
+def test_a_repeated_slip_in_a_surname_or_place_stays_linked(spark):
+    spelt = ["{0} {1}", "{1}, {0}", "{0}_{1}", "Dr. {0} {1}", "{1}, {0}, PhD", "Prof. {0} {1}", "{0}  {1}", "{0} {1}, MD", "Mr. {0} {1}"]
+    # The same slip in three people, and in three spellings of one person.
+    data = [("authors", s.format(g, "Fafjosap")) for g in ("Ida", "Oscar", "Ruth") for s in spelt[:3]] + [("authors", f"{g} Fafjosab") for g in ("Ida", "Oscar", "Ruth")]
+    data += [("authors", s.format("Anna", "Nodsittoz")) for s in spelt] + [("authors", s.format("Anna", "Nodsittos")) for s in spelt[:3]]
+    data += [("institutions", f"{k} {p}") for p in ("Xivefvik", "Xivefvig") for k in ("University", "School", "Clinic")]
+    linked = {r["name"]: r["entity"] for r in names.link(spark.createDataFrame(data, "field_name string, name string"), KINDS).collect()}
+    for g in ("Ida", "Oscar", "Ruth"):
+        assert linked[f"{g} Fafjosap"] == linked[f"{g} Fafjosab"]
+    assert linked["Anna Nodsittoz"] == linked["Anna Nodsittos"] and linked["Clinic Xivefvik"] == linked["Clinic Xivefvig"] != linked["School Xivefvig"]
+    assert len({linked[f"{g} Fafjosap"] for g in ("Ida", "Oscar", "Ruth")}) == 3
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "field_name string, name string, entity string, node string")
     assert names.pairs(names.link(df, KINDS)).count() == 0
