@@ -95,18 +95,24 @@ def with_keys(docs: DataFrame, text_column: str, id_column: str) -> DataFrame:
     return forms.select("id", F.sha2("text", 256).alias("raw"), F.sha2("f.seen", 256).alias("seen"), F.sha2("f.form", 256).alias("form"))
 
 
+def spelling_pairs(keys: DataFrame) -> DataFrame:
+    """(raw_x, raw_y), raw_x < raw_y: digests of different texts that look the same, each once, however many documents hold them."""
+    spellings = keys.select("form", "seen", "raw").distinct()
+    a, b = (spellings.select("form", "seen", F.col("raw").alias(f"raw_{s}")) for s in "xy")
+    return a.join(b, ["form", "seen"]).filter("raw_x < raw_y").select("raw_x", "raw_y")
+
+
 def look_alike_pairs(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id_a, id_b), id_a < id_b: documents of one consistent form whose texts differ in their characters but look the same.
 
     Identical texts are no pair. NULL texts are left out, empty texts only meet texts that look empty; repeated rows give their pair once; an empty
-    input gives no rows; other columns aren't read; texts are compared whole. Documents are grouped by digests; text never moves. Groups with one spelling,
-    however many copies they hold, are dropped before pairs are made."""
+    input gives no rows; other columns aren't read; texts are compared whole. Documents are grouped by digests; text never moves. Distinct spellings
+    are paired first and then joined with the documents that hold them, so copies of one text never meet each other."""
     # Narrow digests, written once: the texts are read and worked on a single time.
     keys = cut(with_keys(docs, text_column, id_column).distinct())
-    several = keys.groupBy("form", "seen").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).filter("low <> high").select("form", "seen")
-    kept = keys.join(several, ["form", "seen"], "left_semi")
-    a, b = (kept.select("form", "seen", F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    return a.join(b, ["form", "seen"]).filter("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b").distinct()
+    x, y = (keys.select(F.col("id").alias(f"id_{s}"), F.col("raw").alias(f"raw_{s}")) for s in "xy")
+    met = spelling_pairs(keys).join(x, "raw_x").join(y, "raw_y").filter("id_x <> id_y")
+    return met.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")).distinct()
 
 
 def forms(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -29,6 +29,13 @@ def test_scripts_are_kept_where_a_word_has_one():
     assert textform.consistent("Дослід ohm Μέτρηση") == "дослід ohm μέτρηση"
 
 
+def test_copies_of_one_text_never_meet(spark):
+    copies = [(i, "look alike") for i in range(200)] + [(500, "look alike​"), (501, "other")]
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    assert textform.spelling_pairs(textform.with_keys(df, "text", "doc_id")).count() == 1
+    assert rows(textform.look_alike_pairs(df)) == sorted([(i, 500) for i in range(200)], key=repr)
+
+
 def test_pairs_equal_brute_force(spark):
     data = [(i, a) for i, a in enumerate([s for p in SAME for s in p if s is not None])] + [(100, "Straight text"), (101, "straight text"), (102, None), (103, "x" * 300_000), (104, "x" * 300_000 + "​"), (103, "x" * 300_000)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("form", F.lit(1)).withColumn("id", F.lit("z"))
