@@ -1,45 +1,52 @@
 """Evaluation items held by documents, wholly or in part.
 
-Two scans with Aho-Corasick automata, each over every text once:
-
-1. over the sentences of all items, to count in how many documents each sentence stands, copies and near copies of a document counting once. Sentences that many
-   documents share are no item text and are taken out of items and documents alike, if they also stand in unlike items or in documents without the rest of the item;
-2. over the word runs of the remaining item texts. An edit-tolerant stretch always keeps some of them unchanged, so their hits place every candidate;
-   the words around the hits are aligned with the item and the longest stretch within the error rate decides.
+1. One Aho-Corasick automaton holds the sentences of all items and every run of RUN words of their texts. One scan passes each document's folded text through it
+   once. A document with hits leaves a narrow row: the item sentences it holds, a sketch of the text around them, and the stretches of its text around dense
+   hits with their offsets. Texts are read once and never moved.
+2. Sentences that many documents share are no item text. They are settled on the narrow rows: a sentence is shared if enough texts hold it (copies and near copies of
+   a text counted once) and a second sign says that it isn't the item's own. `excluded` reports them.
+3. The kept stretches are aligned with the items, shared sentences out on both sides. Any stretch within the error rate keeps a run of RUN words; from every such
+   block the alignment is extended to both sides with furthest-reaching diagonals (a banded edit distance), which finds the longest
+   stretch that holds a whole block (of all stretches that an exhaustive alignment accepts, 0.98 in the tests' random cases, which lie near the limit).
 
 Both sides are folded to one skeleton (case, accents, look-alikes, invisible characters, markup gone); offsets lead back to the original text.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import lru_cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftworks.llm.textform import _TO_LATIN, IGNORABLE, LOOK_ALIKE_MARKS
-from siftworks.session import cut, spread
+from siftworks.session import cut
 
 #: Words of a stretch at least, words per error, and errors granted beyond that ("about one word in six").
 LEAST_WORDS, WORDS_PER_ERROR, SLACK = 20, 6, 0.25
-#: Words of the runs that the automaton looks for. A stretch of 20 words with 4 errors keeps a run of 4.
+#: Words of the runs that the automaton looks for. A stretch of 20 words or more within the error rate keeps an unchanged run of 4.
 RUN = 4
 #: Hits of runs that make a candidate: a stretch of L words with E errors has at least L - E - (RUN - 1) * (E + 1), which is 4 or more from 20 words on.
 LEAST_HITS = 4
-#: A sentence is shared from this part of all distinct texts, and this number of documents, on.
-SHARED_PART, SHARED_DOCS = 0.01, 4
+#: Errors beyond what the words so far allow at which an alignment isn't followed further.
+DROP = 3
+#: A sentence can be shared from this part of all distinct texts, and this number of them, on (parameters of `scan`).
+SHARED_PART, SHARED_TEXTS = 0.01, 4
 #: Bands of least hashes of a text's word pairs, and hashes per band: near copies, with about 0.7 of their word pairs in common, agree in a band.
 BANDS, BAND_HASHES = 6, 5
-#: Words of items in one automaton; more items are scanned for in blocks of that size.
-BLOCK_WORDS = 2_000_000
+#: Bytes of a pickled automaton that are broadcast; item sets beyond that are halved and scanned for one after the other.
+BROADCAST_BYTES = 128 << 20
 
 
 class _Fold(dict):
@@ -53,10 +60,21 @@ class _Fold(dict):
         return out
 
 
-_FOLD = _Fold()
+class _Blank(dict):
+    """Code point -> its folded text with a blank for whatever is neither part of a word nor of markup."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(c if c.isalnum() or c in _MARKUP else " " for c in _FOLD[code])
+        return out
+
+
+_MARKUP = "<>*`/!"
+_FOLD, _BLANK = _Fold(), _Blank()
 _WORD = re.compile(r"[^\W_]+(?:(?:\*\*|`)[^\W_]+)*")
 _TAG = re.compile(r"<[/!]?[a-z][^<>]{0,200}>")
 _MARK = re.compile(r"\*\*|`")
+_INNER_MARK = re.compile(r"(?<=[^\W_])(?:\*\*|`)(?=[^\W_])")
+_NO_MARKUP = str.maketrans(dict.fromkeys(_MARKUP, " "))
 
 
 def fold(text: str) -> str:
@@ -66,178 +84,35 @@ def fold(text: str) -> str:
 def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Folded words and their spans in the folded text; tags are no words, emphasis marks inside a word vanish."""
     folded = fold(text)
-    tags = [m.span() for m in _TAG.finditer(folded)] if "<" in folded else []
-    out, spans = [], []
-    for m in _WORD.finditer(folded):
-        if tags and any(a <= m.start() < b for a, b in tags):
-            continue
-        out.append(_MARK.sub("", m[0]))
-        spans.append(m.span())
-    return out, spans
-
-
-def original_span(text: str, start: int, end: int) -> tuple[int, int]:
-    """Offsets in `text` of the folded span [start, end)."""
-    if text.isascii():
-        return start, end
-    at, low, high = 0, None, len(text)
-    for i, c in enumerate(text):
-        n = len(_FOLD[ord(c)])
-        if low is None and at + n > start:
-            low = i
-        at += n
-        if at >= end:
-            high = i + 1
-            break
-    return low or 0, high
-
-
-def sentences(text: str) -> list[str]:
-    """Folded sentences of an item, as words joined by blanks."""
-    found = (" ".join(words(s)[0]) for s in re.split(r"(?<=[.?!;])\s+|\n+", text))
-    return [s for s in dict.fromkeys(found) if s]
-
-
-def automaton(patterns: dict[str, object]) -> ahocorasick.Automaton:
-    """Word-aligned patterns: each stands between blanks."""
-    out = ahocorasick.Automaton()
-    for p, value in patterns.items():
-        out.add_word(f" {p} ", value)
-    if patterns:
-        out.make_automaton()
-    return out
-
+    if "<" in folded:
+        folded = _TAG.sub(lambda m: " " * len(m[0]), folded)
+    found = [(_MARK.sub("", m[0]), m.span()) for m in _WORD.finditer(folded)]
+    return [w for w, _ in found], [s for _, s in found]
 
-def _ends(tokens: list[str]) -> tuple[str, dict[int, int]]:
-    """The words between blanks, and for the position of each closing blank the number of words before it."""
-    at, ends = 0, {}
-    for i, t in enumerate(tokens):
-        at += len(t) + 1
-        ends[at] = i + 1
-    return f" {' '.join(tokens)} ", ends
-
-
-def without(tokens: list[str], spans: list, shared: ahocorasick.Automaton) -> tuple[list[str], list]:
-    """The words outside shared sentences, with what is kept beside each word."""
-    if not len(shared) or not tokens:
-        return tokens, spans
-    joined, ends = _ends(tokens)
-    gone: set[int] = set()
-    for end, n in shared.iter(joined):
-        gone.update(range(ends[end] - n, ends[end]))
-    keep = [i for i in range(len(tokens)) if i not in gone]
-    return [tokens[i] for i in keep], [spans[i] for i in keep]
-
-
-def longest_stretch(item: list[str], doc: list[str], low: int, high: int, least: int = 0) -> tuple[int, int, int, int] | None:
-    """(item words, errors, first doc word, last doc word + 1) of the longest stretch of the item aligned within doc[low:high] at the error rate allowed; None if none."""
-    part = doc[low:high]
-    blocks = SequenceMatcher(None, item, part, autojunk=False).get_matching_blocks()[:-1]
-    if sum(n for _, _, n in blocks) < least - least // WORDS_PER_ERROR - 1:
-        return None
-    # One step per pair, replaced, dropped or added word: (item words, errors, first doc word, end doc word).
-    steps: list[tuple[int, int, int, int]] = []
-    a0, b0, _ = blocks[0]
-    for a, b, n in blocks:
-        steps += [(int(i < a - a0), 1, b0, b) for i in range(max(a - a0, b - b0))]
-        steps += [(1, 0, b + i, b + i + 1) for i in range(n)]
-        a0, b0 = a + n, b + n
-    held, debt = [0], [0.0]
-    for w, e, _, _ in steps:
-        held.append(held[-1] + w)
-        debt.append(debt[-1] + e - w / WORDS_PER_ERROR)
-    # The longest stretch from i to j with debt[j] - debt[i] within the slack: starts with a higher debt than all before them, tried against ends from the right.
-    starts: list[int] = []
-    for i, step in enumerate(steps):
-        if not step[1] and (not starts or debt[i] > debt[starts[-1]]):
-            starts.append(i)
-    best = None
-    for j in range(len(steps), 0, -1):
-        if steps[j - 1][1]:
-            continue
-        while starts and (starts[-1] >= j or debt[j] - debt[starts[-1]] <= SLACK + 1e-9):
-            i = starts.pop()
-            if i < j and (best is None or held[j] - held[i] > best[0]):
-                best = (held[j] - held[i], sum(e for _, e, _, _ in steps[i:j]), low + steps[i][2], low + steps[j - 1][3])
-    return best
-
-
-class Scanner:
-    """The second scan: items ready to be found in documents."""
-
-    def __init__(self, items: list[tuple[object, str]], shared: list[str]):
-        self.shared = automaton({s: s.count(" ") + 1 for s in shared})
-        self.own: dict[object, list[str]] = {}
-        runs: dict[str, list[tuple[object, int]]] = {}
-        for key, text in items:
-            tokens = words(text or "")[0]
-            own, _ = without(tokens, [None] * len(tokens), self.shared)
-            self.own[key] = own
-            n = min(RUN, len(own))
-            for i in range(len(own) - n + 1 if n else 0):
-                runs.setdefault(" ".join(own[i : i + n]), []).append((key, i))
-        self.runs = automaton({r: (r.count(" ") + 1, where) for r, where in runs.items()})
-
-    def find(self, text: str) -> list[tuple[object, int, int, int, int]]:
-        """(item, words, errors, start, end) of every item the text holds; start and end are offsets in the text."""
-        tokens, spans = words(text)
-        tokens, spans = without(tokens, spans, self.shared)
-        if not tokens or not len(self.runs):
-            return []
-        joined, ends = _ends(tokens)
-        hits: dict[object, list[tuple[int, int]]] = {}
-        for end, (n, where) in self.runs.iter(joined):
-            for key, q in where:
-                hits.setdefault(key, []).append((ends[end] - n, q))
-        out = []
-        for key, found in hits.items():
-            item = self.own[key]
-            least = min(LEAST_WORDS, len(item))
-            if len(found) < min(LEAST_HITS, max(1, len(item) - RUN + 1)):
-                continue
-            best = None
-            for low, high in self._windows(found, len(item), len(tokens)):
-                got = longest_stretch(item, tokens, low, high, least)
-                if got and got[0] >= least and (best is None or got[0] > best[0]):
-                    best = got
-            if best:
-                start, end = original_span(text, spans[best[2]][0], spans[best[3] - 1][1])
-                out.append((key, best[0], best[1], start, end))
-        return out
 
-    @staticmethod
-    def _windows(found: list[tuple[int, int]], n_item: int, n_doc: int) -> list[tuple[int, int]]:
-        """Document windows where a copy of the item could lie. Hits of one copy differ in their diagonal (document place less item place) by no more than the errors; a
-        stretch has LEAST_HITS of them within its first words at the error rate."""
-        errors = n_item // WORDS_PER_ERROR + 2
-        need, near = min(LEAST_HITS, max(1, n_item - RUN + 1)), LEAST_WORDS + 2 * WORDS_PER_ERROR
-        by_diagonal = sorted((p - q, p) for p, q in found)
-        out, start = [], 0
-        for i in range(1, len(by_diagonal) + 1):
-            if i < len(by_diagonal) and by_diagonal[i][0] - by_diagonal[i - 1][0] <= errors:
-                continue
-            places = sorted({p for _, p in by_diagonal[start:i]})
-            if any(places[k + need - 1] - places[k] <= near for k in range(len(places) - need + 1)):
-                out.append((max(0, by_diagonal[start][0] - errors), min(n_doc, by_diagonal[i - 1][0] + n_item + errors)))
-            start = i
-        return out
+def between_blanks(text: str) -> str:
+    """The words of `words`, each between single blanks, without a step per word."""
+    flat = text.translate(_BLANK)
+    if "<" in flat:
+        flat = _TAG.sub(" ", flat)
+    if "*" in flat or "`" in flat:
+        flat = _INNER_MARK.sub("", flat)
+    return f" {' '.join(flat.translate(_NO_MARKUP).split())} "
 
 
-@lru_cache(4)
-def _scanner(items: tuple, shared: tuple) -> Scanner:
-    return Scanner(list(items), list(shared))
+def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Offsets in `text` of spans of its folded text."""
+    if text.isascii():
+        return spans
+    ends = list(accumulate(len(_FOLD[ord(c)]) for c in text))
+    # The first character that reaches beyond the start, and the one that reaches the end.
+    return [(bisect_left(ends, a + 1), bisect_left(ends, b) + 1) for a, b in spans]
 
 
-def _blocks(items: list[tuple[object, str]], limit: int) -> list[list[tuple[object, str]]]:
-    out, size = [[]], 0
-    for item in items:
-        n = len((item[1] or "").split())
-        if out[-1] and size + n > limit:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += n
-    return [b for b in out if b]
+def sentences(text: str) -> list[str]:
+    """Folded sentences of an item with at least RUN words, as words joined by blanks."""
+    found = (words(s)[0] for s in re.split(r"(?<=[.?!;])\s+|\n+", text))
+    return list(dict.fromkeys(" ".join(s) for s in found if len(s) >= RUN))
 
 
 _PRIME = (1 << 31) - 1
@@ -255,21 +130,64 @@ def bands(tokens: list[str]) -> list[int]:
     return [zlib.crc32(d) << 31 | zlib.adler32(d) & _PRIME for d in digests]
 
 
-class Sentences:
-    """The sentences of a block of items and the signs that tell item text from shared sentences."""
+def spared(tokens: list, gone: list[tuple[int, int]]) -> list:
+    """`tokens` without the ranges `gone`."""
+    out = {i for a, b in gone for i in range(a, b)}
+    return [t for i, t in enumerate(tokens) if i not in out] if out else tokens
 
-    def __init__(self, items: list[tuple[object, str]]):
-        # Items of one text are one item.
-        self.items = [tuple(x) for x in dict.fromkeys(tuple(sentences(t)) for _, t in items)]
-        self.texts = list(dict.fromkeys(s for x in self.items for s in x))
-        number = {s: i for i, s in enumerate(self.texts)}
+
+class Items:
+    """Item texts, made ready once on the driver and broadcast: words, sentences, and the one automaton over sentences and runs."""
+
+    def __init__(self, listed: list[tuple[object, str]]):
+        by_text: dict[tuple[str, ...], list] = {}
+        sentence_lists = {}
+        for key, text in listed:
+            by_text.setdefault(t := tuple(words(text)[0]), []).append(key)
+            sentence_lists.setdefault(t, sentences(text))
+        by_text.pop((), None)
+        self.keys = list(by_text.values())
+        self.tokens = [list(t) for t in by_text]
+        self.texts = list(dict.fromkeys(s for t in by_text for s in sentence_lists[t]))
         self.sizes = [s.count(" ") + 1 for s in self.texts]
+        number = {s: i for i, s in enumerate(self.texts)}
+        self.numbers = [frozenset(number[s] for s in sentence_lists[t]) for t in by_text]
         self.held_by: list[list[int]] = [[] for _ in self.texts]
-        for j, x in enumerate(self.items):
-            for s in x:
-                self.held_by[number[s]].append(j)
-        self.totals = [sum(self.sizes[number[s]] for s in x) for x in self.items]
-        self.numbers = [frozenset(number[s] for s in x) for x in self.items]
+        for j, held in enumerate(self.numbers):
+            for i in held:
+                self.held_by[i].append(j)
+        self.occurrences = [[(i, at, at + self.sizes[i]) for i in held for at in self._places(t, self.texts[i].split())] for t, held in zip(self.tokens, self.numbers)]
+        self.totals = [len(t) for t in self.tokens]
+        #: Sentences that stand in unlike items, set where the items are made ready.
+        self.unlike: frozenset[str] = frozenset()
+        # Run -> [(item, whether one hit is enough)]: of short sentences and items, which may be all that is left of an item.
+        runs: dict[str, dict[int, bool]] = {}
+        for j, tokens in enumerate(self.tokens):
+            n = min(RUN, len(tokens))
+            tight = [(0, len(tokens))] if len(tokens) < RUN + LEAST_HITS - 1 else [(a, b) for _, a, b in self.occurrences[j] if b - a < RUN + LEAST_HITS - 1]
+            for i in range(len(tokens) - n + 1):
+                alone = any(a <= i and i + n <= b for a, b in tight)
+                held = runs.setdefault(" ".join(tokens[i : i + n]), {})
+                held[j] = held.get(j, False) or alone
+            # Words that become neighbours where a shared sentence between them is taken out.
+            for _, a, b in self.occurrences[j]:
+                for back in range(1, RUN):
+                    if a >= back and b + RUN - back <= len(tokens):
+                        runs.setdefault(" ".join(tokens[a - back : a] + tokens[b : b + RUN - back]), {}).setdefault(j, False)
+        self.runs = [list(x.items()) for x in runs.values()]
+        self.automaton = ahocorasick.Automaton()
+        for n, run in enumerate(runs):
+            self.automaton.add_word(f" {run} ", (n, number.get(run, -1)))
+        for i, s in enumerate(self.texts):
+            if s not in runs:
+                self.automaton.add_word(f" {s} ", (-1, i))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _places(tokens: list[str], sentence: list[str]) -> list[int]:
+        n = len(sentence)
+        return [i for i in range(len(tokens) - n + 1) if tokens[i : i + n] == sentence]
 
     def in_unlike_items(self, i: int) -> bool:
         """Whether sentence i stands in two items that have less than half of their other words in common."""
@@ -278,84 +196,307 @@ class Sentences:
         return any(2 * (sum(self.sizes[k] for k in self.numbers[first] & self.numbers[j]) - n) < min(self.totals[first], self.totals[j]) - n for j in others)
 
     def beside_the_item(self, held: set[int]) -> dict[int, bool]:
-        """Sentence -> whether a document with the sentences `held` has it without a third of the other words of any item."""
+        """Sentence -> whether a document with the sentences `held` has it without a third of the other words of any item. A sentence that makes up more than half of
+        an item is what that item asks, so it's no evidence where it stands alone."""
         words_of: dict[int, int] = {}
         for i in held:
             for j in self.held_by[i]:
                 words_of[j] = words_of.get(j, 0) + self.sizes[i]
-        return {i: not any(words_of[j] > self.sizes[i] and 3 * (words_of[j] - self.sizes[i]) >= self.totals[j] - self.sizes[i] for j in self.held_by[i]) for i in held}
-
-
-def shared_sentences(docs: DataFrame, block: list[tuple[object, str]], text_column: str, n_texts: int) -> list[str]:
-    """The sentences of the items that stand in at least SHARED_PART of all texts, copies and near copies merged, and show a second sign: they stand in unlike items,
-    or so many of the texts hold them without the rest of the item. Counted over every document."""
-    listed = Sentences(block)
-    names = [f"band_{i}" for i in range(BANDS)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = automaton({s: i for i, s in enumerate(listed.texts)})
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                tokens = words(text)[0]
-                joined, ends = _ends(tokens)
-                held, gone = set(), set()
-                for end, i in found.iter(joined):
-                    held.add(i)
-                    gone.update(range(ends[end] - listed.sizes[i], ends[end]))
-                if held:
-                    own = bands([t for i, t in enumerate(tokens) if i not in gone])
-                    out += [(i, beside, *own) for i, beside in listed.beside_the_item(held).items()]
-            yield pd.DataFrame(out, columns=["sentence", "beside", *names])
-
-    if not listed.texts:
-        return []
-    limit = max(SHARED_DOCS, SHARED_PART * n_texts)
-    texts = spread(docs.select(F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
-    seen = texts.mapInPandas(run, "sentence int, beside boolean, " + ", ".join(f"{x} long" for x in names))
-    # Narrow rows, written once; copies of a text become one here.
-    seen = cut(seen.groupBy("sentence", *names).agg(F.max("beside").alias("beside")))
+
+        def beside(i: int) -> bool:
+            n = self.sizes[i]
+            of = [j for j in self.held_by[i] if 2 * n <= self.totals[j]]
+            return bool(of) and not any(3 * (words_of[j] - n) >= self.totals[j] - n for j in of)
+
+        return {i: beside(i) for i in held}
+
+    def look(self, text: str) -> tuple[dict[int, bool], list[int], list[tuple[int, str, list[tuple[int, int, int]]]]] | None:
+        """What the scan keeps of a document: {item sentence held: beside_the_item}, the bands of the rest of its text, and (offset, text, sentences) of the
+        stretches with dense hits, sentences as (number, first word, last word + 1) within the stretch. None without any."""
+        if not len(self.automaton):
+            return None
+        joined = between_blanks(text)
+        n, at = 0, 1
+        held: list[tuple[int, int, int]] = []
+        places: dict[int, list[tuple[int, bool]]] = {}
+        for end, (run, sentence) in self.automaton.iter(joined):
+            n += joined.count(" ", at, end + 1)
+            at = end + 1
+            if sentence >= 0:
+                held.append((sentence, n - self.sizes[sentence], n))
+            if run >= 0:
+                for item, alone in self.runs[run]:
+                    places.setdefault(item, []).append((n, alone))
+        n += joined.count(" ", at)
+        regions = self._regions(places, held, n)
+        if not held and not regions:
+            return None
+        out = []
+        if regions:
+            spans = words(text)[1]
+            for (low, high), (start, end) in zip(regions, original_spans(text, [(spans[a][0], spans[b - 1][1]) for a, b in regions])):
+                out.append((start, text[start:end], [(i, a - low, b - low) for i, a, b in held if low <= a and b <= high]))
+        numbers = {i for i, _, _ in held}
+        return self.beside_the_item(numbers), bands(spared(joined.split(), [(a, b) for _, a, b in held])) if held else [], out
+
+    def _regions(self, places: dict[int, list[tuple[int, bool]]], held: list[tuple[int, int, int]], n_words: int) -> list[tuple[int, int]]:
+        """Word ranges around dense hits of an item. Words of item sentences don't count as distance, for they may be taken out."""
+        covered: list[int] = []
+        for _, a, b in sorted(held, key=lambda x: x[1]):
+            covered += range(max(a, covered[-1] + 1 if covered else a), b)
+        found = []
+        for item, hits in places.items():
+            size = len(self.tokens[item])
+            errors = size // WORDS_PER_ERROR + 2
+            reach, near = size + errors + RUN, LEAST_WORDS + 2 * WORDS_PER_ERROR
+            ends = [e for e, _ in hits]
+            own = [e - bisect_left(covered, e) for e in ends] if covered else ends
+            for k, (_, alone) in enumerate(hits):
+                if alone:
+                    found.append((ends[k] - reach, ends[k] + reach))
+                elif k + LEAST_HITS <= len(hits) and own[k + LEAST_HITS - 1] - own[k] <= near:
+                    found.append((ends[k] - reach, ends[k + LEAST_HITS - 1] + reach))
+        out: list[tuple[int, int]] = []
+        for low, high in sorted(found):
+            low, high = max(0, low), min(n_words, high)
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
+            else:
+                out.append((low, high))
+        return out
+
+
+def _reach(item: list[str], doc: list[str], i: int, j: int, step: int, most: int, gained: int) -> list[tuple[int, int, int]]:
+    """(errors, item words, doc words) of the farthest alignments that go from item[i], doc[j] on in the direction of `step` and end on equal words, for ever more
+    errors up to `most`; those that get no farther than with fewer errors are left out. Ends where the errors exceed what the words so far, `gained` before
+    them included, allow by more than DROP."""
+    n, m = (len(item) - i, len(doc) - j) if step > 0 else (i + 1, j + 1)
+    x = 0
+    while x < n and x < m and item[i + step * x] == doc[j + step * x]:
+        x += 1
+    out, far, front = [(0, x, x)] if x else [], x, [x]
+    for errors in range(1, most + 1):
+        if far >= n or errors > (gained + far) / WORDS_PER_ERROR + SLACK + DROP:
+            break
+        # front[k] is the farthest item word on diagonal k - errors: replaced, dropped and added word. -1 where there is none.
+        old = [-1, -1, *front, -1, -1]
+        front = []
+        for k in range(2 * errors + 1):
+            d = k - errors
+            x = min(n, m - d, max(old[k + 1] + 1 if old[k + 1] >= 0 else -1, old[k + 2] + 1 if old[k + 2] >= 0 else -1, old[k]))
+            if x + d < 0:
+                x = -1
+            if x >= 0:
+                began = x
+                while x < n and x + d < m and item[i + step * x] == doc[j + step * (x + d)]:
+                    x += 1
+                if x > far and x > began:
+                    far = x
+                    best = (errors, x, x + d)
+            front.append(x)
+        if far > (out[-1][1] if out else 0):
+            out.append(best)
+    return out
+
+
+def longest_stretch(item: list[str], doc: list[str], blocks: list[tuple[int, int, int]]) -> tuple[int, int, int, int] | None:
+    """(item words, errors, first doc word, last doc word + 1) of the longest stretch of the item aligned with the document at the error rate allowed, among those
+    that hold one of the blocks (first item word, first doc word, words) of equal words, longest first. The two sides of a block are independent; blocks inside the
+    best stretch so far aren't extended again."""
+    most = int(len(item) / WORDS_PER_ERROR + SLACK + 1e-9)
+    best = None
+    for q, p, n in blocks:
+        if best and best[2] <= p and p + n <= best[3]:
+            continue
+        after = [(0, 0, 0), *_reach(item, doc, q + n, p + n, 1, most, n)]
+        before = [(0, 0, 0), *_reach(item, doc, q - 1, p - 1, -1, most, n + after[-1][1])]
+        for e1, w1, d1 in before:
+            for e2, w2, d2 in after:
+                size, errors = n + w1 + w2, e1 + e2
+                if errors <= size / WORDS_PER_ERROR + SLACK + 1e-9 and (best is None or (size, -errors) > (best[0], -best[1])):
+                    best = (size, errors, p - d1, p + n + d2)
+        if best and best[0] == len(item):
+            break
+    return best
+
+
+class Verifier:
+    """Items without shared sentences against the stretches kept by the scan."""
+
+    def __init__(self, items: Items, shared: frozenset[int]):
+        self.items, self.shared = items, shared
+        self.own = [spared(t, [(a, b) for i, a, b in o if i in shared]) for t, o in zip(items.tokens, items.occurrences)]
+        self.runs: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for j, own in enumerate(self.own):
+            n = min(RUN, len(own))
+            for q in range(len(own) - n + 1 if n else 0):
+                self.runs.setdefault(tuple(own[q : q + n]), []).append((j, q))
+        self.short = sorted({len(r) for r in self.runs})
+
+    def find(self, offset: int, text: str, held: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """(item, words, errors, start, end) of every item the stretch of text holds; start and end are offsets in the document."""
+        tokens, spans = words(text)
+        gone = [(a, b) for i, a, b in held if i in self.shared]
+        tokens, spans = spared(tokens, gone), spared(spans, gone)
+        hits: dict[int, dict[tuple[int, int], None]] = {}
+        for n in self.short:
+            for p in range(len(tokens) - n + 1):
+                for j, q in self.runs.get(tuple(tokens[p : p + n]), ()):
+                    hits.setdefault(j, {})[q, p] = None
+        found = []
+        for j, at in hits.items():
+            own = self.own[j]
+            run = min(RUN, len(own))
+            if len(at) < min(LEAST_HITS, len(own) - run + 1):
+                continue
+            # Hits that follow each other on one diagonal make a block of equal words.
+            blocks = []
+            for q, p in at:
+                if (q - 1, p - 1) not in at:
+                    n = 1
+                    while (q + n, p + n) in at:
+                        n += 1
+                    blocks.append((q, p, n + run - 1))
+            blocks.sort(key=lambda b: -b[2])
+            got = longest_stretch(own, tokens, blocks)
+            if got and got[0] >= min(LEAST_WORDS, len(own)):
+                found.append((j, *got))
+        places = original_spans(text, [(spans[a][0], spans[b - 1][1]) for _, _, _, a, b in found])
+        return [(j, n, e, offset + a, offset + b) for (j, n, e, _, _), (a, b) in zip(found, places)]
+
+
+_HELD = pa.list_(pa.struct([("sentence", pa.int32()), ("beside", pa.bool_())]))
+_REGIONS = pa.list_(pa.struct([("start_at", pa.int32()), ("text", pa.string()), ("held", pa.list_(pa.struct([("sentence", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])))]))
+_SCAN = "digest long, held array<struct<sentence:int,beside:boolean>>, bands array<long>, regions array<struct<start_at:int,text:string,held:array<struct<sentence:int,low:int,high:int>>>>"
+
+
+def _ready(spark: SparkSession, listed: list[tuple[object, str]], limit: int, whole: Items | None = None) -> list[tuple[Items, object]]:
+    """The items and their broadcast, in as many parts as the size bound asks for; sentences know all items they stand in whatever the parts."""
+    items = Items(listed)
+    whole = whole or items
+    if len(listed) > 1 and len(pickle.dumps(items)) > limit:
+        half = len(listed) // 2
+        return _ready(spark, listed[:half], limit, whole) + _ready(spark, listed[half:], limit, whole)
+    items.unlike = frozenset(s for i, s in enumerate(whole.texts) if whole.in_unlike_items(i))
+    return [(items, spark.sparkContext.broadcast(items))]
+
+
+def _scan(texts: DataFrame, ready: object) -> DataFrame:
+    """(doc_id, digest, held, bands, regions) of every document: the one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = ready.value
+        for batch in batches:
+            held, sketch, regions = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = items.look(text)
+                held.append([{"sentence": i, "beside": b} for i, b in found[0].items()] if found and found[0] else None)
+                sketch.append(found[1] if found and found[0] else None)
+                regions.append([{"start_at": at, "text": t, "held": [dict(zip(("sentence", "low", "high"), s)) for s in inner]} for at, t, inner in found[2]] if found and found[2] else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, _HELD), pa.array(sketch, pa.list_(pa.int64())), pa.array(regions, _REGIONS)], names=["doc_id", "digest", "held", "bands", "regions"])
+
+    return texts.select("doc_id", "text", "digest").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_SCAN}")
+
+
+def _merged(seen: DataFrame) -> DataFrame:
+    """(sentence, beside) once per group of near copies: the least label over all shared bands, twice. A chain of near copies longer than that counts as several."""
+    labelled = seen.withColumn("row", F.xxhash64("bands")).withColumn("label", F.col("row"))
+    for _ in range(2):
+        each = labelled.select("sentence", "row", "label", F.posexplode("bands").alias("band", "value"))
+        least = each.groupBy("sentence", "band", "value").agg(F.min("label").alias("least"))
+        heard = each.select("sentence", "row", "band", "value").join(least, ["sentence", "band", "value"]).groupBy("sentence", "row").agg(F.min("least").alias("label"))
+        labelled = labelled.drop("label").join(heard, ["sentence", "row"])
+    return labelled.groupBy("sentence", "label").agg(F.max("beside").alias("beside"))
+
+
+class Shared(NamedTuple):
+    sentence: int
+    n_texts: int
+    n_beside: int
+    unlike: bool
+
+
+def shared_sentences(scanned: DataFrame, items: Items, limit: float) -> list[Shared]:
+    """The item sentences that at least `limit` texts hold, copies and near copies merged, and that show a second sign: they stand in unlike items, or `limit` of the
+    texts hold them without the rest of the item. Counted over every document; at most one row per item sentence comes to the driver."""
+    each = scanned.filter(F.col("held").isNotNull()).select("bands", F.explode("held").alias("h")).select("bands", "h.sentence", "h.beside")
+    # Copies of a text become one here.
+    seen = each.groupBy("sentence", "bands").agg(F.max("beside").alias("beside"))
     often = [r[0] for r in seen.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).collect()]
     if not often:
         return []
-    # The least label of every band's group, forth and back over the bands: near copies end with one label.
-    merged = seen.filter(F.col("sentence").isin(often)).withColumn("label", F.xxhash64(*names))
-    for x in [*names, *names[-2::-1]]:
-        merged = merged.withColumn("label", F.min("label").over(Window.partitionBy("sentence", x)))
-    counted = merged.groupBy("sentence", "label").agg(F.max("beside").alias("beside")).groupBy("sentence").agg(F.count(F.lit(1)).alias("n"), F.count_if("beside").alias("beside"))
-    # At most one row per sentence of the item block comes back.
-    rows = counted.filter(F.col("n") >= limit).collect()
-    return [listed.texts[r["sentence"]] for r in rows if r["beside"] >= limit or listed.in_unlike_items(r["sentence"])]
+    counted = _merged(seen.filter(F.col("sentence").isin(often))).groupBy("sentence").agg(F.count(F.lit(1)).alias("n"), F.count_if("beside").alias("beside"))
+    rows = [Shared(r["sentence"], r["n"], r["beside"], items.texts[r["sentence"]] in items.unlike) for r in counted.filter(F.col("n") >= limit).collect()]
+    return [r for r in rows if r.unlike or r.n_beside >= limit]
 
 
 FOUND = "doc_id {0}, item_id {1}, words int, errors int, start_at int, end_at int"
+EXCLUDED = "item_id {0}, sentence string, n_texts long, n_without_item long, in_unlike_items boolean, words_left int"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "item_text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, words, errors, start_at, end_at): every document that holds an item's text or a stretch of at least LEAST_WORDS of its words
+class Leaks(NamedTuple):
+    found: DataFrame
+    excluded: DataFrame
+
+
+def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "item_text", shared_part: float = SHARED_PART, shared_texts: int = SHARED_TEXTS, broadcast_bytes: int = BROADCAST_BYTES) -> Leaks:
+    """`found` (doc_id, item_id, words, errors, start_at, end_at): every document that holds an item's text or a stretch of at least LEAST_WORDS of its words
     in order, with at most about one word in WORDS_PER_ERROR replaced, dropped or added; the longest stretch, and its offsets in the document.
+    `excluded` (item_id, sentence, n_texts, n_without_item, in_unlike_items, words_left): the item sentences that count as shared and why, and how many words of the item are
+    still looked for; 0 means that nothing of the item is.
+
+    A sentence is shared where at least `shared_part` of all distinct texts, and `shared_texts`, hold it, near copies counted once, and it stands in unlike items too, or
+    so many of the texts hold less than a third of the rest of the item. It is never shared by the second sign where it makes up more than half of the item.
 
     An item shorter than LEAST_WORDS is held as a whole only. NULL and empty texts hold nothing and NULL or empty items are held by nothing; repeated rows give the
-    same row once; empty tables give no rows; other columns, whatever their names, aren't read. Whole texts of any length are scanned. Items are a
-    bounded test set, read on the driver and scanned for in blocks of `block_words` words.
+    same row once, several ids of one item text a row each; empty tables give no rows; other columns, whatever their names, aren't read. Whole texts of any length are
+    scanned. Items are a bounded test set: read on the driver and broadcast in parts of at most `broadcast_bytes`.
     """
     spark = docs.sparkSession
-    kinds = [docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
-    schema = FOUND.format(*kinds)
+    id_type, key_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    schema, report = FOUND.format(id_type, key_type), EXCLUDED.format(key_type)
     listed = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_id, item_text).toLocalIterator()]
-    n_texts = docs.agg(F.count_distinct(F.xxhash64(text_column))).first()[0] if listed else 0
-    texts = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull()))
-    out = None
-    for block in _blocks(listed, block_words):
-        shared = tuple(sorted(shared_sentences(docs, block, text_column, n_texts)))
-        ready = tuple(block)
-
-        def run(batches: Iterator[pd.DataFrame], ready: tuple = ready, shared: tuple = shared) -> Iterator[pd.DataFrame]:
-            scanner = _scanner(ready, shared)
-            for pdf in batches:
-                rows = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) for hit in scanner.find(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "errors", "start_at", "end_at"])
-
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out.distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("digest")).filter(F.col("text").isNotNull())
+    parts, shared = [], {}
+    for ready, sent in _ready(spark, listed, broadcast_bytes) if listed else []:
+        scanned = cut(_scan(texts, sent))
+        n_texts = scanned.agg(F.count_distinct("digest")).first()[0]
+        shared |= {ready.texts[s.sentence]: s for s in shared_sentences(scanned, ready, max(shared_texts, shared_part * n_texts))}
+        parts.append((ready, sent, scanned))
+    found, excluded = None, []
+    for ready, sent, scanned in parts:
+        numbers = frozenset(i for i, s in enumerate(ready.texts) if s in shared)
+        left = [len(spared(t, [(a, b) for i, a, b in o if i in numbers])) for t, o in zip(ready.tokens, ready.occurrences)]
+        excluded += [(key, ready.texts[i], *shared[ready.texts[i]][1:], left[j]) for i in numbers for j in ready.held_by[i] for key in ready.keys[j]]
+        part = _verified(scanned, sent, numbers, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is not None:
+        # The longest stretch per document and item, whichever of its regions or rows it came from.
+        best = F.max_by(F.struct("words", "errors", "start_at", "end_at"), F.struct("words", -F.col("errors"), -F.col("start_at"))).alias("b")
+        found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return Leaks(spark.createDataFrame([], schema) if found is None else found, spark.createDataFrame(excluded, report))
+
+
+def _verified(scanned: DataFrame, ready: object, shared: frozenset[int], schema: str) -> DataFrame:
+    key_type = T.StructType.fromDDL(schema)["item_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        verifier, arrow_key = Verifier(ready.value, shared), to_arrow_type(key_type)
+        for batch in batches:
+            docs, rows = [], []
+            for k, r in enumerate(batch.column(1).to_pylist()):
+                for j, *rest in verifier.find(r["start_at"], r["text"], [(h["sentence"], h["low"], h["high"]) for h in r["held"]]):
+                    for key in verifier.items.keys[j]:
+                        docs.append(k)
+                        rows.append((key, *rest))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int32())), pa.array(columns[0], arrow_key), *[pa.array(c, pa.int32()) for c in columns[1:]]], names=["doc_id", "item_id", "words", "errors", "start_at", "end_at"])
+
+    return scanned.filter(F.col("regions").isNotNull()).select("doc_id", F.explode("regions").alias("region")).mapInArrow(run, schema)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The `found` frame of `scan`."""
+    return scan(docs, items, **options).found

@@ -47,6 +47,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
+def p6_excluded(spark: SparkSession, d: str) -> DataFrame:
+    """Item sentences that count as shared, with the counts behind that."""
+    return leaks.scan(table(spark, d, "documents"), table(spark, d, "eval_items")).excluded
+
+
 def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
@@ -67,5 +72,5 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return textform.forms(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_value_map, p5_found, p5_entities, p6_found, p6_stretches, p7_mix, p7_shares, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_value_map, p5_found, p5_entities, p6_found, p6_stretches, p6_excluded, p7_mix, p7_shares, p8_found, p8_forms)}
 SQL: dict[str, str] = {}

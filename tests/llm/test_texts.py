@@ -1,7 +1,10 @@
 import unicodedata
+from random import Random
 
 import pytest
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftworks.llm import leaks, mixing, textform
@@ -72,7 +75,7 @@ def test_stretches(spark):
     start, end = got[13, 7]["start_at"], got[13, 7]["end_at"]
     assert leaks.fold(docs[13][start:end]) == " ".join(w[:25])
     assert leaks.find_leaks(df.limit(0), items).count() == 0 and leaks.find_leaks(df, items.limit(0)).count() == 0
-    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, items, block_words=1).collect()) == sorted(got)
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, items, broadcast_bytes=1).collect()) == sorted(got)
 
 
 def test_a_quote_deep_in_a_very_long_text(spark):
@@ -108,6 +111,68 @@ def test_a_block_of_sentences_in_unlike_items_and_many_documents_is_shared(spark
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).count() == 0
 
 
+@pytest.mark.parametrize("holding", [1, 4, 10, 100])
+def test_an_item_held_by_many_documents_is_found_in_all(spark, holding):
+    item = " ".join(f"w{i}" for i in range(26))
+    docs = [(i, " ".join(f"d{i}x{j}" for j in range(20)) + (f". {item}." if i < holding else ".")) for i in range(1000)]
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, item_text string"))
+    assert rows(found, "doc_id") == sorted(((i,) for i in range(holding)), key=repr)
+
+
+def test_excluded_sentences_are_reported(spark):
+    shared = " ".join([SHARED] * 3)
+    docs = [(i, " ".join(f"d{i}x{j}" for j in range(20)) + f". {shared}.") for i in range(9)]
+    items = spark.createDataFrame([(1, f"{FIRST}. {SECOND}. {shared}."), (2, shared)], "item_id long, item_text string")
+    result = leaks.scan(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert rows(result.excluded) == [(1, shared, 9, 9, False, 48), (2, shared, 9, 9, False, 0)] and result.found.count() == 0
+    more = leaks.scan(spark.createDataFrame(docs, "doc_id long, text string"), items, shared_texts=10)
+    assert more.excluded.count() == 0 and more.found.count() == 18
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab c<>*`/!_.é\u0301Ａа1\n\u200b&İß"), max_size=60))
+def test_both_ways_to_words_agree(text):
+    assert leaks.between_blanks(text).split() == leaks.words(text)[0]
+
+
+def every_alignment(item, doc):
+    """Words and errors of the longest stretch by trying all starts and ends."""
+    best = (0, 0)
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            if item[i] != doc[j]:
+                continue
+            row = {j - 1: 0} | {k: k - j + 1 for k in range(j, len(doc))}
+            for x in range(i, len(item)):
+                new = {j - 1: x - i + 1}
+                for y in range(j, len(doc)):
+                    new[y] = min(row[y - 1] + (item[x] != doc[y]), row[y] + 1, new[y - 1] + 1)
+                    if item[x] == doc[y] and new[y] <= (x - i + 1) / 6 + 0.25:
+                        best = max(best, (x - i + 1, -new[y]))
+                row = new
+    return best
+
+
+def test_alignment_against_exhaustive_search():
+    random, cases, same, found, wanted = Random(3), 0, 0, 0, 0
+    for _ in range(150):
+        item = [f"w{random.randrange(60)}" for _ in range(40)]
+        doc, errors = list(item[random.randrange(10) : random.randrange(24, 41)]), random.randrange(9)
+        for _ in range(errors):
+            at, kind = random.randrange(len(doc)), random.randrange(3)
+            doc[at : at + (kind < 2)] = [] if kind == 0 else [f"w{random.randrange(60)}"]
+        doc = [f"w{random.randrange(60)}" for _ in range(5)] + doc + [f"w{random.randrange(60)}" for _ in range(5)]
+        items = leaks.Items([(1, " ".join(item))])
+        size, debt = every_alignment(item, doc)
+        got = leaks.Verifier(items, frozenset()).find(0, " ".join(doc), [])
+        cases += 1
+        same += (got[0][1:3] if got else (0, 0)) == ((size, -debt) if size >= 20 else (0, 0))
+        wanted += size >= 20
+        found += bool(got) and size >= 20
+        assert not got or got[0][1] <= size
+    assert wanted > 80 and found >= 0.97 * wanted and same >= 0.9 * cases
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
