@@ -68,9 +68,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.look_alike_pairs(table(spark, d, "documents")).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: what it looks like, how it is spelt, and how many documents look the same in other characters."""
+    return textform.look_alike_classes(table(spark, d, "documents"))
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return textform.forms(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_value_map, p5_found, p5_entities, p6_found, p6_stretches, p6_excluded, p7_mix, p7_shares, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_value_map, p5_found, p5_entities, p6_found, p6_stretches, p6_excluded, p7_mix, p7_shares, p8_found, p8_classes, p8_forms)}
 SQL: dict[str, str] = {}

@@ -39,6 +39,22 @@ def test_copies_of_one_text_never_meet(spark):
     assert rows(textform.look_alike_pairs(df)) == sorted([(i, 500) for i in range(200)], key=repr)
 
 
+def test_two_spellings_with_many_copies_are_dealt_out(spark):
+    data = [(i, "look alike" if i % 2 else "look alike\u200b") for i in range(300)] + [(1000, "alone")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = textform.look_alike_pairs(df, chunk=20)
+    assert got.count() == got.distinct().count() == 150 * 150 and got.filter("id_a % 2 = id_b % 2 or id_a >= id_b").count() == 0
+    classes = textform.look_alike_classes(df)
+    assert rows(classes.groupBy("links").count()) == [(0, 1), (150, 300)] and classes.select("look").distinct().count() == 2
+    assert textform.look_alike_classes(df.limit(0)).count() == 0
+
+
+def test_confusables_are_a_parameter(tmp_path):
+    (tmp_path / "c.txt").write_text("# comment\n13AA ;\t0041 ;\tMA\n0430 ;\t0061 ;\tMA\n1D400 1D401 ; 0041 ; MA\n", encoding="utf-8")
+    table = textform.read_confusables(str(tmp_path / "c.txt"))
+    assert table == {"\u13aa": "A"} and textform.appearance("\u13aabc", table) == "Abc" and textform.appearance("\u13aabc") == "\u13aabc"
+
+
 def test_pairs_equal_brute_force(spark):
     data = [(i, a) for i, a in enumerate([s for p in SAME for s in p if s is not None])] + [(100, "Straight text"), (101, "straight text"), (102, None), (103, "x" * 300_000), (104, "x" * 300_000 + "​"), (103, "x" * 300_000)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("form", F.lit(1)).withColumn("id", F.lit("z"))
