@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "siftworks", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,12 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder the cluster names. Only a local master may do without one: on a cluster a temporary folder is each machine's own."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    target = configured or tempfile.mkdtemp(prefix="siftworks-checkpoint-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="siftworks-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target
 
@@ -68,6 +72,15 @@ def task_slots(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows up to which a lookup table is broadcast; a larger one is joined like any other.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A lookup table with a broadcast hint if it has at most `most` rows, which is counted; without one beyond that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan before row-wise Python work: with fewer partitions than cores its rows are dealt out, else it stays as it is.
 
