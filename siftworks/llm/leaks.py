@@ -20,7 +20,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import islice
 from typing import NamedTuple
 
 import ahocorasick
@@ -86,8 +86,23 @@ def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     folded = fold(text)
     if "<" in folded:
         folded = _TAG.sub(lambda m: " " * len(m[0]), folded)
-    found = [(_MARK.sub("", m[0]), m.span()) for m in _WORD.finditer(folded)]
-    return [w for w, _ in found], [s for _, s in found]
+    found = list(_WORD.finditer(folded))
+    marked = "*" in folded or "`" in folded
+    return [_MARK.sub("", m[0]) if marked else m[0] for m in found], [m.span() for m in found]
+
+
+def _word_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in the folded text of ranges of words, in order and apart from each other."""
+    folded = fold(text)
+    if "<" in folded:
+        folded = _TAG.sub(lambda m: " " * len(m[0]), folded)
+    found, at, out = _WORD.finditer(folded), 0, []
+    for a, b in ranges:
+        first = next(islice(found, a - at, None))
+        last = first if b == a + 1 else next(islice(found, b - a - 2, None))
+        at = b
+        out.append((first.start(), last.end()))
+    return out
 
 
 def between_blanks(text: str) -> str:
@@ -101,12 +116,23 @@ def between_blanks(text: str) -> str:
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Offsets in `text` of spans of its folded text."""
-    if text.isascii():
+    """Offsets in `text` of spans of its folded text: only characters whose folded form isn't one character shift them."""
+    odd = "" if text.isascii() else "".join(c for c in set(text) if len(_FOLD[ord(c)]) != 1)
+    if not odd:
         return spans
-    ends = list(accumulate(len(_FOLD[ord(c)]) for c in text))
-    # The first character that reaches beyond the start, and the one that reaches the end.
-    return [(bisect_left(ends, a + 1), bisect_left(ends, b) + 1) for a, b in spans]
+    places, ends, shifts = [], [], [0]
+    for m in re.finditer(f"[{re.escape(odd)}]", text):
+        shifts.append(shifts[-1] + len(_FOLD[ord(m[0])]) - 1)
+        places.append(m.start())
+        ends.append(m.end() + shifts[-1])
+
+    def reached(end: int) -> int:
+        """The first character whose folded form ends at `end` or beyond."""
+        k = bisect_left(ends, end)
+        plain = max(end - 1 - shifts[k], places[k - 1] + 1 if k else 0)
+        return min(plain, places[k]) if k < len(places) else plain
+
+    return [(reached(a + 1), reached(b) + 1) for a, b in spans]
 
 
 def sentences(text: str) -> list[str]:
@@ -233,8 +259,7 @@ class Items:
             return None
         out = []
         if regions:
-            spans = words(text)[1]
-            for (low, high), (start, end) in zip(regions, original_spans(text, [(spans[a][0], spans[b - 1][1]) for a, b in regions])):
+            for (low, high), (start, end) in zip(regions, original_spans(text, _word_spans(text, regions))):
                 out.append((start, text[start:end], [(i, a - low, b - low) for i, a, b in held if low <= a and b <= high]))
         numbers = {i for i, _, _ in held}
         return self.beside_the_item(numbers), bands(spared(joined.split(), [(a, b) for _, a, b in held])) if held else [], out
@@ -246,6 +271,8 @@ class Items:
             covered += range(max(a, covered[-1] + 1 if covered else a), b)
         found = []
         for item, hits in places.items():
+            if len(hits) < LEAST_HITS and not any(alone for _, alone in hits):
+                continue
             size = len(self.tokens[item])
             errors = size // WORDS_PER_ERROR + 2
             reach, near = size + errors + RUN, LEAST_WORDS + 2 * WORDS_PER_ERROR
@@ -320,6 +347,20 @@ def longest_stretch(item: list[str], doc: list[str], blocks: list[tuple[int, int
     return best
 
 
+def _within_reach(own: list[str], there: set[str]) -> bool:
+    """Whether some LEAST_WORDS words in a row of an item are there but for the errors that a stretch may have in them, whatever their order."""
+    n = min(LEAST_WORDS, len(own))
+    missing = [t not in there for t in own]
+    most, now = n // WORDS_PER_ERROR + 2, sum(missing[:n])
+    if now <= most:
+        return True
+    for i in range(n, len(own)):
+        now += missing[i] - missing[i - n]
+        if now <= most:
+            return True
+    return False
+
+
 class Verifier:
     """Items without shared sentences against the stretches kept by the scan."""
 
@@ -356,7 +397,10 @@ class Verifier:
                     n = 1
                     while (q + n, p + n) in at:
                         n += 1
-                    blocks.append((q, p, n + run - 1))
+                    n += run - 1
+                    # A block of a stretch lies in LEAST_WORDS words of it with few errors, or another block does.
+                    if n >= LEAST_WORDS or _within_reach(own[max(0, q + n - LEAST_WORDS) : q + LEAST_WORDS], set(tokens[max(0, p + n - LEAST_WORDS - RUN) : p + LEAST_WORDS + RUN])):
+                        blocks.append((q, p, n))
             blocks.sort(key=lambda b: -b[2])
             got = longest_stretch(own, tokens, blocks)
             if got and got[0] >= min(LEAST_WORDS, len(own)):
