@@ -2,6 +2,8 @@ import itertools
 
 import pytest
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from siftworks.llm import names
 
@@ -10,7 +12,10 @@ PEOPLE = [
     ["Olivia Nansohut", "Nánsohut, O.", "Olivia_Nansohut", "NANSOHUT, Olivia", "Dr. Olivia Nansohut", "Nansohut Olivia", "Livvy Nansohut", "Olivia K. Nansohut", "Nansohut OK", "Olivia Nansohut, PhD", "Olivia Nansohtu", "Oliva Nansohut"],
     ["Oscar Nansohut", "Nansohut, Oscar P."], ["Robert Cehhapaw", "Cehhapaw, Bob"], ["Gregory Pukgicet"], ["Bernd Müller", "B. Muller"], ["Anna Lee", "Lee, Anna"],
 ]
-PLACES = [["Univ. of Xivefvik", "Xivefvik University", "U Xivefvik", "UNIVERSITY OF XIVEFVIK", "Xivefvikk University"], ["Xivefvik University Hospital", "UH Xivefvik", "Univ Hosp Xivefvik"], ["School of Medicine, Loxufvik", "Loxufvik_Med_School"], ["CBI Loxufvik", "Ctr. f. Brain Imaging (Loxufvik)"], ["Clinic for Children, Zed", "Zed Children's Clinic"], ["Tijurstead Tech", "Institute of Technology, Tijurstead"]]
+#: Short forms are learned from people who go by both, of surnames that few given names bear.
+PEOPLE += [[f"{full} {surname}", f"{short} {surname}"] for full, short in (("Olivia", "Livvy"), ("Robert", "Bob")) for surname in ("Rogtegig", "Yompabis", "Wigcukag")]
+PEOPLE += [[f"{g} {surname}"] for g, surname in (("Olivia", "Tezpeduc"), ("Robert", "Tunlolop"), ("Ida", "Dadvahhid"), ("Ruth", "Pukdolad"), ("Ingo", "Zijsitoz"), ("Karl", "Hisjafen"), ("Nora", "Sashapaw"), ("Emil", "Vupmimom"), ("Rosa", "Lobpucin"), ("Hugo", "Rewfopil"), ("Lena", "Babzofas"), ("Otto", "Kakyonuf"), ("Vera", "Nizruwag"), ("Timo", "Netcukag"), ("Ella", "Mocravak"), ("Kurt", "Seyfimab"))]
+PLACES = [["Univ. of Xivefvik", "Xivefvik University", "U Xivefvik", "UNIVERSITY OF XIVEFVIK", "Xivefvikk University"], ["Xivefvik University Hospital", "UH Xivefvik", "Univ Hosp Xivefvik"], ["School of Medicine, Loxufvik", "Loxufvik_Med_School"], ["CBI Loxufvik", "Ctr. f. Brain Imaging (Loxufvik)"], ["Clinic for Children, Zed", "Zed Children's Clinic"], ["Tijurstead Tech", "Institute of Technology, Tijurstead"], ["MIT", "Massachusetts Institute of Technology"], ["INRIA"], ["Stanford", "STANFORD", "Stanfrod"], ["Max Planck Society", "Max_Planck_Society", "Society Max Planck"], ["Foo Foundation", "FOO_FOUNDATION"]]
 
 
 def strings(spark):
@@ -65,6 +70,19 @@ def test_components_equal_brute_force(spark):
     assert {got[f"n{i}"] for i in range(31)} == {"n0"} and got["c"] == "a" and got["alone"] == "alone" and got["d"] == "d"
 
 
+def test_two_edits_in_long_words_and_slips_in_both_parts(spark):
+    same = [("Tom Ferrgusson", "Tom Ferguson"), ("Ewa Wojciechowski", "Wojciehowsky, Ewa"), ("Theodore Nodsittoz", "Tehodore Nodsitotz")]
+    apart = [("Ada Nansohut", "Ada Mamsohat"), ("Eva Pukdolad", "Ewo Pukdilod")]
+    df = spark.createDataFrame([("authors", s) for p in same + apart for s in p], "field_name string, name string")
+    linked = {r["name"]: r["entity"] for r in names.link(df, KINDS).collect()}
+    assert all(linked[a] == linked[b] for a, b in same) and all(linked[a] != linked[b] for a, b in apart)
+
+
+def test_an_acronym_that_fits_two_is_linked_to_neither(spark):
+    df = spark.createDataFrame([("institutions", s) for s in ("CBI Zedburg", "Centre for Brain Imaging, Zedburg", "Clinic for Brain Imaging, Zedburg", "UH Zedburg", "University Hospital Zedburg")], "field_name string, name string")
+    assert rows(names.pairs(names.link(df, KINDS)), "name_a", "name_b") == [("UH Zedburg", "University Hospital Zedburg")]
+
+
 def brute(a, b, kind):
     best = None
     full_a = [x for x in a if len(x) > 1]
@@ -80,11 +98,29 @@ def brute(a, b, kind):
     return best
 
 
-@pytest.mark.parametrize("a,b", [(["olivia", "nansohut"], ["o", "nansohut"]), (["a", "h", "zed"], ["zed", "anna"]), (["bob", "smith"], ["smith", "robert", "j"]), (["x"], ["y"]), (["abigail"], ["abigaul", "k"]), (["a", "b"], ["b", "a"]), ([], ["q"])])
+@pytest.mark.parametrize("a,b", [(["olivia", "nansohut"], ["o", "nansohut"]), (["a", "h", "zed"], ["zed", "anna"]), (["bob", "smith"], ["smith", "robert", "j"]), (["x"], ["y"]), (["abigail"], ["abigaul", "k"]), (["a", "b"], ["b", "a"]), ([], ["q"]), (["bob", "smith"], ["smith", "bobby"])])
 def test_alignment_is_optimal(a, b):
     assert names.align(a, b, names.PERSON) == names.align(b, a, names.PERSON) == brute(a, b, names.PERSON)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.integers(0, 9), min_size=n, max_size=n), min_size=n, max_size=n)))
+def test_assignment_is_optimal(costs):
+    n = len(costs)
+    assert names.assignment(costs) == min(sum(costs[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+
+
+def test_lists_of_any_length_are_aligned():
+    long = [f"token{chr(97 + i)}{chr(97 + i // 2)}xyz" for i in range(25)]
+    slip = [*long[:-1], long[-1][:-2] + "q" + long[-1][-1]]
+    assert names.align(long, list(reversed(slip)), names.ORGANISATION) == 2 and names.align(long, long[1:], names.ORGANISATION) is None
+
+
+@pytest.mark.parametrize("a,b,edits", [("ferrgusson", "ferguson", 2), ("wojciechowski", "wojciehowsky", 2), ("abcdefgh", "abcdxfgy", None), ("abcdefghi", "bacdefgih", 2), ("abcdefghi", "xyzdefghi", None), ("abc", "abc", 0)])
+def test_edits_of_long_words(a, b, edits):
+    assert names.within(a, b) == names.within(b, a) == edits
+
+
 @pytest.mark.parametrize("a,b,same", [("abc", "abc", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "axc", True), ("abcd", "badc", False), ("abc", "a", False), ("", "a", True)])
 def test_one_edit(a, b, same):
     assert names.one_edit(a, b) == names.one_edit(b, a) == same
