@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ESCAPES = frozenset('"\\/bfnrtu')
+_ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
 
 def member(j: Column, key: str) -> Column:
@@ -41,8 +41,10 @@ def as_list(j: Column, key: str) -> Column:
 
 
 def without_members(j: Column, keys: list[str]) -> Column:
-    """JSON object text without some members; values as strings."""
-    return F.to_json(F.map_filter(F.from_json(j, "map<string,string>"), lambda k, v: ~k.isin(*keys)))
+    """JSON object text without some members; the others keep their types (numbers, booleans, lists, objects, null). Members come out in order of their names, numbers in
+    their shortest form. NULL, broken JSON and JSON that is no object give NULL."""
+    members = F.try_variant_get(F.try_parse_json(j), "$", "map<string,variant>")
+    return F.to_json(F.map_filter(members, lambda k, v: ~k.isin(*keys)), {"ignoreNullFields": "false"})
 
 
 def promoted(c: Column) -> Column:
@@ -57,23 +59,103 @@ def positions_to_text(index: Column) -> Column:
     return F.array_join(F.transform(firsts, lambda x: x["w"]), " ")
 
 
+class _Lenient:
+    """Reads one value of JSON-like text and writes it as JSON, in one pass with a stack of open lists and objects. Commas are separators at most: missing, repeated and
+    trailing ones make no difference. Strings may stand in either sort of quotes, escapes that mean nothing stand for their letter, and control
+    characters are blanks outside of strings and nothing within."""
+
+    _LITERAL = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+    _PLAIN = {q: re.compile(rf"[^{q}\\\x00-\x1f]+") for q in "\"'"}
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def _peek(self) -> str:
+        """The next character that says something; empty at the end."""
+        while self.at < len(self.text) and (self.text[self.at] <= " " or self.text[self.at] in ",\ufeff"):
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def _string(self) -> str:
+        quote, out = self.text[self.at], []
+        self.at += 1
+        while True:
+            if run := self._PLAIN[quote].match(self.text, self.at):
+                out.append(run[0])
+                self.at = run.end()
+            c, after = self.text[self.at : self.at + 1], self.text[self.at + 1 : self.at + 2]
+            if not c or (c == "\\" and not after):
+                raise ValueError("a string without end")
+            self.at += 1
+            if c == quote:
+                # Escaped halves of one character become one; a half alone is no text.
+                whole = "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+                return json.dumps(whole, ensure_ascii=False)
+            if c == "\\":
+                self.at += 1
+                code = self.text[self.at : self.at + 4]
+                if after == "u" and re.fullmatch("[0-9a-fA-F]{4}", code):
+                    out.append(chr(int(code, 16)))
+                    self.at += 4
+                else:
+                    out.append(_ESCAPES.get(after, after))
+            elif c in "\n\t":
+                out.append(c)
+
+    def _scalar(self) -> str:
+        if self._peek() in ("'", '"'):
+            return self._string()
+        found = self._LITERAL.match(self.text, self.at)
+        if not found:
+            raise ValueError(f"no value at {self.at}")
+        self.at = found.end()
+        return found[0]
+
+    def read(self) -> str:
+        open_: list[tuple[str, list[str]]] = []
+        while True:
+            c, name = self._peek(), ""
+            if open_ and c and c == open_[-1][0]:
+                self.at += 1
+                closing, parts = open_.pop()
+                value = ("{" if closing == "}" else "[") + ", ".join(parts) + closing
+                if parts and parts[-1].endswith(": "):
+                    raise ValueError("a name without value")
+            else:
+                if open_ and open_[-1][0] == "}" and not (open_[-1][1] and open_[-1][1][-1].endswith(": ")):
+                    if c not in ("'", '"'):
+                        raise ValueError(f"no name at {self.at}")
+                    name = self._string()
+                    if self._peek() != ":":
+                        raise ValueError(f"no colon at {self.at}")
+                    self.at += 1
+                    open_[-1][1].append(name + ": ")
+                    continue
+                if c in ("{", "[") and c:
+                    self.at += 1
+                    open_.append(("}" if c == "{" else "]", []))
+                    continue
+                value = self._scalar()
+            if not open_:
+                if self._peek():
+                    raise ValueError(f"more text at {self.at}")
+                return value
+            parts = open_[-1][1]
+            if open_[-1][0] == "}":
+                parts[-1] += value
+            else:
+                parts.append(value)
+
+
 def repair(text: str) -> str:
-    """Valid JSON text from nearly valid: line ends, trailing and missing commas, invalid escapes, control characters, single-quoted names; `{}` where that isn't enough."""
-    text = text.lstrip("﻿")
+    """Valid JSON text from nearly valid; text that is valid stays as it is, and what can't be read is `{}`."""
     try:
         json.loads(text)
         return text
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
-    fixed = text.replace("\r\n", "\n").replace("\r", "\n")
-    fixed = re.sub(r",(?=\s*[}\]])", "", fixed)
-    fixed = re.sub(r"(?<=\})(?=[ \t]*\n[ \t]*[\"'])", ",", fixed)
-    fixed = re.sub(r"\\(.)", lambda m: m[0] if m[1] in _ESCAPES else m[1], fixed)
-    fixed = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", fixed)
-    fixed = re.sub(r"([{,]\s*)'([^'\n]+)'(?=\s*:)", r'\1"\2"', fixed)
     try:
-        json.loads(fixed)
-        return fixed
+        return _Lenient(text).read()
     except ValueError:
         return "{}"
 

@@ -44,7 +44,7 @@ def closure(pairs: DataFrame, roots: DataFrame | None = None, most: int = 1000)
 
 
 def depths(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth): 0 for roots, else one more than the deepest parent; nodes on or below a cycle that never settle have 0."""
+    """(node, depth): 0 for roots, else one more than the deepest parent; nodes on or below a cycle never settle and have 0. More than `most` levels are refused."""
     nodes = pairs.select(F.col("parent").alias("node")).union(pairs.select("child")).distinct()
     settled = cut(nodes.join(pairs.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))
     for _ in range(most):
@@ -54,6 +54,8 @@ def depths(pairs: DataFrame, most: int = 1000) -> DataFrame:
         if new.isEmpty():
             break
         settled = settled.unionByName(new)
+    else:
+        raise ValueError(f"more than {most} levels")
     return nodes.join(settled, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

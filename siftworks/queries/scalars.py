@@ -54,8 +54,8 @@ _over("edit_distance", "part", "p_partkey", lambda: F.levenshtein("p_name", "p_t
 _over("str19_threshold", "part", "p_partkey", lambda: F.lit(80.0) + (F.lit(1.0) - F.col("p_size") / F.lit(50.0)) * 8.0, "80.0::DOUBLE + (1.0::DOUBLE - p_size / 50.0::DOUBLE) * 8.0::DOUBLE")
 _over("str27_author_line", "bids_datasets", "id", lambda: text.author_line(F.col("authors")), "CASE WHEN len(authors) > 3 THEN array_to_string(authors[1:3], ', ') || ' +' || (len(authors) - 3) ELSE array_to_string(authors, ', ') END", where="authors IS NOT NULL")
 _over("str28_fingerprint", "documents", "doc_id", lambda: text.fingerprint(F.col("text")), "md5(text)[1:12]")
-_over("regex_categorise", "documents", "doc_id", lambda: text.first_match(F.col("text"), text.QUESTION_CATEGORIES[2:], "Other"),
-      "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in text.QUESTION_CATEGORIES[2:]) + " ELSE 'Other' END")
+_over("regex_categorise", "documents", "doc_id", lambda: text.categorise(F.col("text")),
+      "CASE " + " ".join(f"WHEN regexp_matches(text, '{text.category_pattern(w)}') THEN '{n}'" for n, w in text.CATEGORIES) + " ELSE 'Other' END", where="text IS NOT NULL")
 _over("str20_error_category", "documents", "doc_id", lambda: text.error_category(F.col("text")),
       "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in text.ERROR_CATEGORIES) + " ELSE 'other' END", where="text IS NOT NULL")
 _over("token_overlap", "bids_datasets", "id", lambda: F.size(F.array_intersect(text.content_words(F.col("name")), F.array(*map(F.lit, ("sleep", "quality", "retired", "teachers", "contrast"))))).cast("long"),

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -22,11 +24,31 @@ def one(spark, column, value, kind="string"):
     (lambda c: documents.member(c, "k"), '{"k": 2.50}', "2.5"), (lambda c: documents.member(c, "k"), '{"k": 2', None), (lambda c: documents.number(c, "k"), '{"k": " 2"}', 2.0), (lambda c: documents.string_array(c, "k"), '{"k": ["a", "b"]}', ["a", "b"]), (lambda c: documents.string_array(c, "k"), '{"k": "a"}', None),
     (lambda c: documents.as_list(c, "k"), '{"k": "a"}', ["a"]), (lambda c: documents.as_list(c, "k"), '{"k": []}', None), (lambda c: documents.without_members(c, ["a"]), '{"a": 1, "b": "x"}', '{"b":"x"}'), (documents.promoted, "  ", None), (documents.strip_nuls, 'a\x00\\u0000b', "ab"),
     (documents.repaired_json, "{'a': 1,}", '{"a": 1}'), (documents.repaired_json, "nope", "{}"), (documents.repaired_json, None, None),
+    (lambda c: documents.without_members(c, ["k"]), '{"k": true, "b": {"c": [1, 2.50]}, "n": null, "a": 1, "s": "1"}', '{"a":1,"b":{"c":[1,2.5]},"n":null,"s":"1"}'), (lambda c: documents.without_members(c, ["k"]), '{"k": 1', None), (lambda c: documents.without_members(c, ["k"]), "[1]", None), (lambda c: documents.without_members(c, ["k"]), '{"k": 1}', "{}"),
+    (text.categorise, "patients with epilepsy", "Diagnosis"), (text.categorise, "at least 20 patients", "How many"), (text.categorise, "EEG and fMRI, both", "Several kinds of data"), (text.categorise, "nothing", "Other"), (text.categorise, "a womenfolk", "Other"), (lambda c: text.categorise(c, (("X", ("lumbar  pain",)),), "-"), "Lumbar\npain", "X"),
 ])
 def test_text_and_json(spark, column, value, expected):
     assert one(spark, column, value) == expected
 
 
+@pytest.mark.parametrize("given,value", [
+    ('{"a": [1, 2,, 3 4],}', {"a": [1, 2, 3, 4]}), ('{"a": {"b": 1}\n "c": 2}', {"a": {"b": 1}, "c": 2}), ('{"a": "x\\q\ty", \'b\': \'it"s\'}', {"a": "xq\ty", "b": 'it"s'}), ('\ufeff{"a": 1}', {"a": 1}), ('[{"a": 1}{"b": 2}]', [{"a": 1}, {"b": 2}]), ('{"a": -1.5e3, "b": null, "c": {}}\x00', {"a": -1500.0, "b": None, "c": {}}),
+    ('{"a\x01": tru}', {}), ('{"a": "b', {}), ('{"a" 1}', {}), ("[1, 2", {}), ('{"a": 1} x', {}), ("", {}), ('{"a":}', {}), ("[,]", []), ('{"u": "\\u00e9\\ud83d\\ude00\\ud83d",}', {"u": "é😀\ufffd"}), ("[" * 5000 + "1," + "]" * 5000, None), ('"s"', "s"),
+])
+def test_nearly_valid_json(given, value):
+    fixed = documents.repair(given)
+    if value is None:
+        assert fixed == "[" * 5000 + "1" + "]" * 5000
+    else:
+        assert json.loads(fixed) == value
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8))
+def test_the_lenient_reader_keeps_valid_json(value):
+    assert json.loads(documents._Lenient(json.dumps(value, ensure_ascii=False)).read()) == value
+
+
 def test_author_lines_and_positions(spark):
     assert one(spark, text.author_line, ["a", "b", "c", "d", "e"], "array<string>") == "a, b, c +2" and one(spark, text.author_line, ["a"], "array<string>") == "a"
     assert one(spark, documents.positions_to_text, {"b": [1, 9], "a": [0], "x": [1]}, "map<string,array<int>>") in ("a b b", "a x b")
