@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftworks.session import cut
+from siftworks.session import cut, task_slots
 
 PERSON, ORGANISATION = "person", "organisation"
 #: From so many distinct spellings on, the keys of two people (or organisations) whose surnames (or places) are an edit apart are names of their own and no slip of
@@ -70,12 +70,13 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def within(a: str, b: str) -> int | None:
-    """Edits between two words (a swap of neighbours is one): 0, 1, or 2 where the longer one is long; None beyond that."""
+    """Edits between two words (a swap of neighbours is one): 0, 1, or 2 where the longer one is long and they begin alike; None beyond that. Few slips hit the first
+    letter, and coined names of one ending differ in their first letters."""
     if a == b:
         return 0
     if one_edit(a, b):
         return 1
-    if max(len(a), len(b)) < LONG or abs(len(a) - len(b)) > 2:
+    if max(len(a), len(b)) < LONG or abs(len(a) - len(b)) > 2 or a[0] != b[0]:
         return None
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -317,8 +318,8 @@ def short_forms(people: DataFrame) -> DataFrame:
 def _index(batches: Iterator[pd.DataFrame], kinds: dict[str, str]) -> Iterator[pd.DataFrame]:
     """Symmetric-delete index rows of keys. Slots that begin with `i|` are for initials and acronyms: a bare key there meets full ones."""
     for pdf in batches:
-        out = []
-        for field, node, main, rest, forms, marks, partial in zip(pdf["field_name"], pdf["node"], pdf["main"], pdf["rest"], pdf["forms"], pdf["marks"], pdf["partial"]):
+        out: list[tuple] = []
+        for field, node, main, rest, forms, marks, partial in zip(pdf["field_name"], pdf["nid"], pdf["main"], pdf["rest"], pdf["forms"], pdf["marks"], pdf["partial"]):
             rest, forms, marks = list(rest), list(forms), list(marks)
             deep = deletions(main, depth=2 if len(main) >= LONG - 1 else 1)
             near = deletions(main)
@@ -352,7 +353,7 @@ def _index(batches: Iterator[pd.DataFrame], kinds: dict[str, str]) -> Iterator[p
                     if 2 <= len(t) <= 5:
                         others = " ".join(x for x in tokens if x != t)
                         out += [(field, node, f"i|{d}|{t}", True) for d in deletions(others)]
-        yield pd.DataFrame(out, columns=["field_name", "node", "slot", "bare"])
+        yield pd.DataFrame(out, columns=["field_name", "nid", "slot", "bare"]).drop_duplicates()
 
 
 def _same_bare(a: tuple, b: tuple) -> bool:
@@ -424,17 +425,19 @@ def link(strings: DataFrame, kinds: dict[str, str]) -> DataFrame:
     none = F.array().cast("array<string>")
     nodes = keyed.groupBy("field_name", "node", "main", "rest", "first", own.alias("own")).agg(F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks"))
     nodes = nodes.join(spellings, ["field_name", "main", "own"]).drop("own").join(short_forms(keyed.filter(is_person)), ["field_name", "first"], "left").join(spelt, ["field_name", "rest"], "left")
-    nodes = cut(nodes.select("field_name", "node", "main", "rest", "marks", "spellings", F.coalesce("forms", none).alias("forms"), (~is_person & (F.size("rest") > 0) & F.col("_spelt").isNull()).alias("partial")))
-    index = nodes.drop("spellings").mapInPandas(lambda it: _index(it, kinds), "field_name string, node string, slot string, bare boolean")
-    index = index.select("node", F.xxhash64("field_name", "slot").alias("slot"), F.col("slot").startswith("i|").alias("by_initial"), "bare").distinct()
-    a, b = (index.select("slot", "by_initial", F.col("node").alias(f"node_{x}"), F.col("bare").alias(f"bare_{x}")) for x in "ab")
+    # Few rows make many slots: they are dealt out first, and the slots are written once for both sides of the join.
+    nodes = nodes.select("field_name", "node", F.xxhash64("node").alias("nid"), "main", "rest", "marks", "spellings", F.coalesce("forms", none).alias("forms"), (~is_person & (F.size("rest") > 0) & F.col("_spelt").isNull()).alias("partial"))
+    nodes = cut(nodes.repartition(task_slots(strings.sparkSession), "node"))
+    index = nodes.drop("spellings", "node").mapInPandas(lambda it: _index(it, kinds), "field_name string, nid long, slot string, bare boolean")
+    index = cut(index.select("nid", F.xxhash64("field_name", "slot").alias("slot"), F.col("slot").startswith("i|").alias("by_initial"), "bare"))
+    a, b = (index.select("slot", "by_initial", F.col("nid").alias(f"nid_{x}"), F.col("bare").alias(f"bare_{x}")) for x in "ab")
     # A bare initial pairs with every key of its slot; two full keys never meet in an "i" slot, so the work there is linear in full keys.
-    met = a.join(b, ["slot", "by_initial"]).filter((~F.col("by_initial") & (F.col("node_a") < F.col("node_b"))) | (F.col("by_initial") & F.col("bare_a") & (F.col("node_a") != F.col("node_b")) & (~F.col("bare_b") | (F.col("node_a") < F.col("node_b")))))
-    candidates = met.select("node_a", "node_b", "bare_a", "bare_b").distinct()
-    details = ("main", "rest", "marks", "spellings", "forms", "partial")
-    na = nodes.select("field_name", F.col("node").alias("node_a"), *[F.col(c).alias(f"{c}_a") for c in details])
-    nb = nodes.select(F.col("node").alias("node_b"), *[F.col(c).alias(f"{c}_b") for c in details])
-    verified = cut(candidates.join(na, "node_a").join(nb, "node_b").mapInPandas(lambda it: _verify(it, kinds), "field_name string, node_a string, node_b string, bare_a boolean, bare_b boolean"))
+    met = a.join(b, ["slot", "by_initial"]).filter((~F.col("by_initial") & (F.col("nid_a") < F.col("nid_b"))) | (F.col("by_initial") & F.col("bare_a") & (F.col("nid_a") != F.col("nid_b")) & (~F.col("bare_b") | (F.col("nid_a") < F.col("nid_b")))))
+    candidates = met.select("nid_a", "nid_b", "bare_a", "bare_b").distinct()
+    details = ("node", "main", "rest", "marks", "spellings", "forms", "partial")
+    na = nodes.select("field_name", F.col("nid").alias("nid_a"), *[F.col(c).alias(f"{c}_a") for c in details])
+    nb = nodes.select(F.col("nid").alias("nid_b"), *[F.col(c).alias(f"{c}_b") for c in details])
+    verified = cut(candidates.join(na, "nid_a").join(nb, "nid_b").mapInPandas(lambda it: _verify(it, kinds), "field_name string, node_a string, node_b string, bare_a boolean, bare_b boolean"))
     # One pass over links of the same sort: full names among themselves, bare ones among themselves. Bare ones that fit one component join it.
     groups = cut(components(nodes, verified.filter("bare_a = bare_b").select("node_a", "node_b").distinct()))
     fits = verified.filter("bare_a and not bare_b").join(groups, F.col("node_b") == F.col("node")).groupBy("node_a").agg(F.min("component").alias("fit"), F.countDistinct("component").alias("fitting"))
