@@ -18,6 +18,12 @@ def member(j: Column, key: str) -> Column:
     return F.try_variant_get(F.try_parse_json(j), f"$['{key}']", "string")
 
 
+def shaped(j: Column, names: list[str]) -> Column:
+    """A struct of some members as text, NULL where one is absent: an answer of fixed shape whatever the JSON holds. The JSON is parsed once."""
+    parsed = F.try_parse_json(j)
+    return F.struct(*[F.try_variant_get(parsed, f"$['{n}']", "string").alias(n) for n in names])
+
+
 def number(j: Column, key: str) -> Column:
     """A member as a number; NULL where it is none."""
     return member(j, key).try_cast("double")

@@ -6,9 +6,12 @@ Arrow-batched; the string pairs come from blocked or broadcast joins, so each ba
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,3 +158,77 @@ def weighted_ratio_from(least: float):
 
 token_set_ratio_of = _column(token_set_ratio)
 ratio_of = _column(ratio)
+
+
+#: Labels that one task compares with at a time; a larger list is met in blocks of that size.
+BLOCK_LABELS = 20_000
+
+
+class Labels:
+    """A block of labels whose weighted ratio with a text can be bounded for all at once: no plain or token ratio exceeds what the letters in common allow, no partial
+    one what the letters of the shorter side allow, and only labels with a word in common reach further."""
+
+    def __init__(self, labels: list[str]):
+        self.labels = labels
+        self.letters = {c: i for i, c in enumerate(sorted({c for x in labels for c in x}))}
+        self.counts = np.array([self._counts(x) for x in labels], np.int16).reshape(len(labels), -1)
+        self.sizes = np.array([len(x) for x in labels], np.float64)
+        self.words: dict[str, list[int]] = {}
+        for i, x in enumerate(labels):
+            for w in set(x.split()):
+                self.words.setdefault(w, []).append(i)
+
+    def _counts(self, text: str) -> np.ndarray:
+        out = np.zeros(len(self.letters), np.int16)
+        for c, n in Counter(text).items():
+            if c in self.letters:
+                out[self.letters[c]] = min(n, 32_000)
+        return out
+
+    def near(self, text: str, least: float) -> list[tuple[str, float]]:
+        """Labels with at least `least` points, and these."""
+        if not text or not self.labels:
+            return []
+        shared = np.minimum(self.counts, self._counts(text)).sum(axis=1).astype(np.float64)
+        small, large = np.minimum(self.sizes, len(text)), np.maximum(self.sizes, len(text))
+        plain = 200 * shared / (self.sizes + len(text))
+        # A window of a partial ratio is at most as long as the shorter side; the best of cut windows has no letter beside those in common.
+        part = np.where(large >= 1.5 * small, np.where(large <= 8 * small, 90.0, 60.0) * 2 * shared / (small + np.minimum(shared, small)), 0.0)
+        wanted = (plain >= least) | (part >= least)
+        wanted[[i for w in set(text.split()) for i in self.words.get(w, ())]] = True
+        found = ((self.labels[i], weighted_ratio(text, self.labels[i], least)) for i in np.nonzero(wanted & (self.sizes > 0))[0])
+        return [(label, points) for label, points in found if points >= least]
+
+
+def near_labels(texts: DataFrame, labels: DataFrame, least: float, block: int = BLOCK_LABELS) -> DataFrame:
+    """(text, label, points): the labels whose weighted ratio with a text is at least `least`. Both sides are distinct strings (`text`, `label`); the labels are packed into
+    blocks, each text meets each block once, and only labels that can reach `least` are scored."""
+    n = max(1, -(-labels.count() // block))
+    packed = labels.filter(F.col("label").isNotNull()).groupBy(F.pmod(F.xxhash64("label"), F.lit(n)).alias("_block")).agg(F.array_sort(F.collect_set("label")).alias("_labels"))
+    spread = texts.filter(F.col("text").isNotNull()).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[int, Labels] = {}
+        for pdf in batches:
+            rows = []
+            for text, number, listed in zip(pdf["text"], pdf["_block"], pdf["_labels"]):
+                if number not in ready:
+                    ready.clear()
+                    ready[number] = Labels(list(listed))
+                rows += [(text, label, points) for label, points in ready[number].near(text, least)]
+            yield pd.DataFrame(rows, columns=["text", "label", "points"])
+
+    # Texts are dealt out by block and hash, so that a task works on one block at a time; a block is sent to a task once per row batch at most.
+    slots = max(2, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    blocks = {r["_block"]: r["_labels"] for r in packed.toLocalIterator()} if n == 1 else None
+    if blocks is not None:
+        # One block, whose size is bounded: it travels with the task.
+        listed = [str(x) for x in blocks.get(0, [])]
+
+        def run_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ready = Labels(listed)
+            for pdf in batches:
+                yield pd.DataFrame([(t, label, points) for t in pdf["text"] for label, points in ready.near(t, least)], columns=["text", "label", "points"])
+
+        return texts.filter(F.col("text").isNotNull()).select("text").repartition(slots, "text").mapInPandas(run_one, "text string, label string, points double")
+    return spread.join(packed, "_block").repartition(slots, "_block", "text").mapInPandas(run, "text string, label string, points double")

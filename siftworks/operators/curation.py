@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftworks.functions.similarity import weighted_ratio_of
-from siftworks.functions.text import JUNK_PATTERNS, first_match, without_separators
+from siftworks.functions.similarity import near_labels
+from siftworks.functions.text import JUNK_PATTERNS, content_words, first_match, without_separators
 from siftworks.operators.vectors import pairs_above
 
 #: Severities of collisions by score.
@@ -80,11 +80,51 @@ def junk_counts(data: DataFrame, column: str, examples: int = 8) -> DataFrame:
 
 
 def dictionary_match(values: DataFrame, dictionary: DataFrame, least: int = 4) -> DataFrame:
-    """(value, canonical): exact match of the value without separators, else the first dictionary pattern (by position) of at least `least` letters it contains. The dictionary is a bounded table."""
-    d = dictionary.select(without_separators(F.col("pattern")).alias("_p"), "canonical", "position")
+    """(value, canonical): exact match of the value without separators, else the first dictionary pattern (by position) of at least `least` letters it contains.
+
+    Equal values are joined first. The rest is blocked by the first `least` letters of the patterns: a value that contains a pattern contains those at some place, so
+    its substrings of that length are joined with them and only the pairs that agree are compared."""
+    d = dictionary.select(without_separators(F.col("pattern")).alias("_p"), "canonical", "position").filter("_p IS NOT NULL")
     v = values.select("value").distinct().withColumn("_v", without_separators(F.col("value")))
-    pairs = v.join(F.broadcast(d), (F.col("_v") == F.col("_p")) | ((F.length("_p") >= least) & F.contains(F.col("_v"), F.col("_p"))))
-    return pairs.groupBy("value").agg(F.min_by("canonical", F.struct((F.col("_v") != F.col("_p")).alias("x"), "position")).alias("canonical"))
+    same = v.join(d, F.col("_v") == F.col("_p")).groupBy("value").agg(F.min_by("canonical", F.struct("position", "canonical")).alias("canonical"))
+    rest = v.join(same, "value", "left_anti").filter(F.length("_v") >= least)
+    pieces = rest.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_v") - (least - 1)), lambda i: F.substring("_v", i, F.lit(least))))))
+    keyed = d.filter(F.length("_p") >= least).withColumn("_g", F.substring("_p", 1, least))
+    held = pieces.join(keyed, "_g").filter(F.contains(F.col("_v"), F.col("_p"))).groupBy("value").agg(F.min_by("canonical", F.struct("position", "canonical")).alias("canonical"))
+    return same.unionByName(held)
+
+
+def ranked_examples(examples: DataFrame, asked: DataFrame, families: list[str], most: int = 5) -> DataFrame:
+    """(ask, question, family, code_overlap, word_overlap, place): the examples nearest to each request, by codes in common, then content words, then the family's
+    priority (the request's own family 2, `families` 1, others 0), then the question; equal questions once.
+
+    `examples`: question, family, codes; `asked`: ask, text, family, codes. Examples are a curated table; each request meets those with a code or a word in common through
+    an equality join, and the others only where too few of these are there: by the family alone, which needs no pair."""
+    words = lambda c: F.coalesce(content_words(c), F.array().cast("array<string>"))
+    e = examples.groupBy("question").agg(F.min_by(F.struct("family", F.coalesce("codes", F.array().cast("array<string>")).alias("codes")), F.struct("family")).alias("x")).select("question", "x.family", "x.codes", words(F.col("question")).alias("words"))
+    a = asked.select("ask", F.col("family").alias("_family"), F.coalesce("codes", F.array().cast("array<string>")).alias("_codes"), words(F.col("text")).alias("_words"))
+    mark = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    keys_e = e.select("question", F.explode(F.concat(mark("c", F.col("codes")), mark("w", F.col("words")))).alias("k")).distinct()
+    keys_a = a.select("ask", F.explode(F.concat(mark("c", F.col("_codes")), mark("w", F.col("_words")))).alias("k")).distinct()
+    shared = keys_a.join(keys_e, "k").groupBy("ask", "question").agg(F.count_if(F.col("k").startswith("c")).alias("code_overlap"), F.count_if(F.col("k").startswith("w")).alias("word_overlap"))
+    near = shared.join(e.select("question", "family"), "question").join(a.select("ask", "_family"), "ask")
+    priority = lambda own: F.when(F.col("family") == own, 2).when(F.col("family").isin(families), 1).otherwise(0)
+    # The first examples of each family, enough to fill up any request.
+    w = Window.partitionBy("family").orderBy("question")
+    fill = e.select("question", "family").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 2 * most).drop("n")
+    spare = a.select("ask", "_family").join(F.broadcast(fill)).join(shared.select("ask", "question"), ["ask", "question"], "left_anti").select("ask", "question", F.lit(0).cast("long").alias("code_overlap"), F.lit(0).cast("long").alias("word_overlap"), "family", "_family")
+    order = Window.partitionBy("ask").orderBy(F.desc("code_overlap"), F.desc("word_overlap"), F.desc(priority(F.col("_family"))), "question")
+    return near.select(*spare.columns).unionByName(spare).withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most).select("ask", "question", "family", "code_overlap", "word_overlap", "place")
+
+
+def batch_order(nodes: DataFrame, offset: int = 0, most: int | None = None, by_text: bool = False) -> DataFrame:
+    """Nodes (key, path, accession_ids, description) in the order of work: most datasets first, then the path; `by_text` weighs ten letters of description like a dataset. With
+    offset and cap, a plan for the top rows only."""
+    n = F.coalesce(F.size(F.array_distinct("accession_ids")), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    weight = 10 * n + F.coalesce(F.length("description"), F.lit(0)) if by_text else n
+    out = nodes.withColumn("weight", weight.cast("long")).orderBy(F.desc("weight"), "path").offset(offset)
+    return out.limit(most) if most is not None else out
 
 
 def severity(score: Column) -> Column:
@@ -97,11 +137,13 @@ def severity(score: Column) -> Column:
 def fuzzy_collisions(terms: DataFrame, least: float = 90.0) -> DataFrame:
     """Synonyms of a concept that read like the label or a high-weight synonym of another: severity, score and both sides.
 
-    `terms`: field, key, term, kind (`label`/`synonym`), weight. All pairs of a field's vocabulary are what is asked for; the targets are a bounded table and broadcast."""
+    `terms`: field, key, term, kind (`label`/`synonym`), weight. The targets are the bounded vocabulary; synonyms meet the targets that can score high enough only (see
+    `similarity.near_labels`), not all of them."""
     a = terms.filter("kind = 'synonym'").select("field", F.col("key").alias("source_key"), F.lower("term").alias("source_term"), F.col("weight").alias("source_weight")).distinct()
     b = terms.filter((F.col("kind") == "label") | (F.col("weight") >= HIGH_WEIGHT)).select("field", F.col("key").alias("target_key"), F.lower("term").alias("target_term"), F.col("kind").alias("target_kind")).distinct()
-    pairs = a.join(F.broadcast(b), "field").filter("source_key <> target_key").withColumn("score", weighted_ratio_of(F.col("source_term"), F.col("target_term"))).filter(F.col("score") >= least)
-    return pairs.withColumn("severity", severity(F.col("score")))
+    near = near_labels(a.select(F.col("source_term").alias("text")).distinct(), b.select(F.col("target_term").alias("label")).distinct(), least)
+    pairs = a.join(near.select(F.col("text").alias("source_term"), F.col("label").alias("target_term"), F.col("points").alias("score")), "source_term").join(b, ["field", "target_term"]).filter("source_key <> target_key")
+    return pairs.select("field", "source_key", "source_term", "source_weight", "target_key", "target_term", "target_kind", "score").withColumn("severity", severity(F.col("score")))
 
 
 def vector_collisions(vectors: DataFrame, least: float = VECTOR_COLLISION) -> DataFrame:

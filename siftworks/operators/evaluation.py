@@ -21,6 +21,17 @@ def judged(truth: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+#: Outcomes of a whole search, one flag each, and the names of their ratios.
+OUTCOMES = {"passed": "pass_pct", "zero_result": "zero_result_pct", "spurious_filter": "spurious_filter_pct", "missing_filter": "missing_filter_pct", "sql_valid": "sql_valid_pct", "fallback": "fallback_pct", "schema_hallucination": "schema_hallucination_pct", "self_corrected": "self_correction_pct"}
+
+
+def pipeline_metrics(results: DataFrame, group: str = "category") -> DataFrame:
+    """(category, n, one ratio per outcome) per category and over all (`Overall`), in one rollup. A flag that is NULL counts as not set."""
+    flags = results.select(F.coalesce(F.col(group), F.lit("Other")).alias(group), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(name) for c, name in OUTCOMES.items()])
+    out = by_group(flags, group, list(OUTCOMES.values()))
+    return out.withColumn(group, F.when(F.col(group) == "overall", "Overall").otherwise(F.col(group)))
+
+
 def by_group(rows: DataFrame, group: str, measures: list[str]) -> DataFrame:
     """Means of the measures per group and over all (`overall`), in one rollup."""
     means = [F.round(F.avg(m), 3).alias(m) for m in measures]

@@ -26,11 +26,42 @@ def classify(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("extension", e).withColumn("action", F.when(name.startswith("._"), "skip").when(F.lower(e).isin(*CONTENT), "content").otherwise("stub"))
 
 
+def checkout_manifest(listing: DataFrame) -> DataFrame:
+    """(path, size, kept) of a repository's tree from its long listing (`value`: mode, type, object, size, tab, path): the same manifest as of an object store. Links are
+    annexed content that isn't there (`kept` is false, size NULL); folders, sub-repositories and lines of another form are left out. Cloning itself is the work of
+    the repository's own program."""
+    part = lambda i: F.regexp_extract("value", r"^(\d{6}) (\w+) ([0-9a-f]+) +(\d+|-)\t(.+)$", i)
+    rows = listing.select(part(1).alias("mode"), part(2).alias("kind"), part(4).alias("size"), part(5).alias("path")).filter("kind = 'blob' AND path <> ''")
+    kept = F.col("mode") != "120000"
+    return rows.select("path", F.when(kept, F.col("size").try_cast("long")).alias("size"), kept.alias("kept"))
+
+
+#: Members of a stored answer about a dataset, and their types.
+ANSWER = (
+    "data struct<dataset: struct<id: string, metadata: struct<datasetName: string, datasetDOI: string, license: string, authors: array<string>, fundingSource: string, modalities: array<string>, tasks: array<string>, "
+    "sex: struct<maleCount: int, femaleCount: int, otherCount: int>, numberOfParticipants: int>>>"
+)
+
+
+def answered_datasets(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """(id, name, doi, license, authors, funding, modalities, tasks, males, females, others) from stored answers of a dataset service; answers without a dataset, or broken ones,
+    give no rows, absent members NULL."""
+    d = F.from_json(column, ANSWER)["data"]["dataset"]
+    m = d["metadata"]
+    fields = {"name": "datasetName", "doi": "datasetDOI", "license": "license", "authors": "authors", "funding": "fundingSource", "modalities": "modalities", "tasks": "tasks"}
+    return answers.filter(d["id"].isNotNull()).select(d["id"].alias("id"), *[m[f].alias(n) for n, f in fields.items()], *[m["sex"][f].alias(n) for n, f in (("males", "maleCount"), ("females", "femaleCount"), ("others", "otherCount"))])
+
+
 def accessions(prefixes: DataFrame, pattern: str = r"^(ds\d{6})/$") -> DataFrame:
     """Accession ids among the top-level prefixes of a listing, sorted, once each."""
     return prefixes.select(F.regexp_extract("prefix", pattern, 1).alias("accession_id")).filter("accession_id <> ''").distinct().orderBy("accession_id")
 
 
+def listed(text: Column) -> Column:
+    """The entries of a comma-separated setting, trimmed, empty ones out."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def accession_list(text: str | None, listed: list[str] | dict | None = None) -> list[str]:
     """Accessions from a comma-separated setting, else from a list or `{accessions: [...]}`."""
     if text and text.strip():

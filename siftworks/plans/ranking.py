@@ -9,7 +9,8 @@ from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -74,6 +75,12 @@ def page_counts(total: int, page: int, size: int) -> dict[str, int | bool]:
     return {"total": total, "page_count": max(1, -(-total // size)), "has_more": page * size < total}
 
 
+def paging(total: Column, page: int, size: int) -> tuple[Column, Column]:
+    """(page_count, has_more) of a column of totals."""
+    page, size = clamp(page, size)
+    return F.greatest(F.lit(1).cast("long"), F.ceil(total / size)).alias("page_count"), (F.lit(page * size) < total).alias("has_more")
+
+
 def participants_of(cat: Catalogue, page: DataFrame, most: int = 50) -> DataFrame:
     """Up to `most` participants per dataset of a page, in order of participant id."""
     people = cat.participants.drop("crawled_at").dropDuplicates(["id"])
@@ -84,48 +91,60 @@ def participants_of(cat: Catalogue, page: DataFrame, most: int = 50) -> DataFram
 
 @dataclass
 class Entry:
-    ranked: DataFrame
+    ranked: DataFrame | None
     total: int | None
     created: float
+    pages: dict[tuple[int, int], list[Row]] = field(default_factory=dict)
 
 
 @dataclass
 class QueryCache:
-    """Plans' results by id: expired entries go first, then the oldest; reading doesn't renew an entry."""
+    """Results by id: expired entries go first, then the oldest; reading doesn't renew an entry. A ranked result is kept on the executors (memory, else disk) until its
+    entry goes, so further pages rank nothing again; what an executor loses is computed again. At most `most` results are kept, each with a few pages of rows here."""
 
     ttl: float = 1800.0
     most: int = 500
     clock: Callable[[], float] = time.time
     entries: OrderedDict[str, Entry] = field(default_factory=OrderedDict)
 
+    def _drop(self, key: str) -> None:
+        entry = self.entries.pop(key)
+        if entry.ranked is not None:
+            entry.ranked.unpersist()
+
     def get(self, key: str) -> Entry | None:
         entry = self.entries.get(key)
         if entry and self.clock() - entry.created > self.ttl:
-            del self.entries[key]
+            self._drop(key)
             return None
         return entry
 
-    def put(self, key: str, ranked: DataFrame) -> None:
+    def put(self, key: str, ranked: DataFrame | None) -> None:
         now = self.clock()
+        if key in self.entries:
+            self._drop(key)
         for old in [k for k, e in self.entries.items() if now - e.created > self.ttl]:
-            del self.entries[old]
+            self._drop(old)
         while len(self.entries) >= self.most:
-            del self.entries[min(self.entries, key=lambda k: self.entries[k].created)]
-        self.entries[key] = Entry(ranked, None, now)
+            self._drop(min(self.entries, key=lambda k: self.entries[k].created))
+        self.entries[key] = Entry(None if ranked is None else ranked.persist(StorageLevel.MEMORY_AND_DISK), None, now)
 
 
 class Search:
-    """`search` compiles, ranks and gives the first page; `page` gives further pages of the same result."""
+    """`search` compiles, ranks and gives the first page; `page` gives further pages of the same result, the pages beside it being fetched with it."""
+
+    #: Pages of rows kept per result.
+    KEPT_PAGES = 9
 
     def __init__(self, cat: Catalogue, cache: QueryCache | None = None):
         self.cat, self.cache = cat, cache or QueryCache()
 
     def search(self, plan: QueryPlan, page: int = 1, size: int | None = None) -> tuple[str, DataFrame, dict]:
         key = hashlib.md5(json.dumps(to_json(plan), sort_keys=True).encode()).hexdigest()
-        result = compile_plan(plan, self.cat)
-        # An order or limit asked for replaces relevance.
-        ranked = result if plan.order_by or plan.limit else ordered(relevance(result, self.cat, list(plan.scored)))
-        self.cache.put(key, ranked)
+        if self.cache.get(key) is None:
+            result = compile_plan(plan, self.cat)
+            # An order or limit asked for replaces relevance.
+            self.cache.put(key, result if plan.order_by or plan.limit else ordered(relevance(result, self.cat, list(plan.scored))))
         return key, *self.page(key, page, size)
 
     def page(self, key: str, page: int = 1, size: int | None = None) -> tuple[DataFrame, dict]:
@@ -136,4 +155,12 @@ class Search:
         page, size = clamp(page, size)
         if entry.total is None:
             entry.total = entry.ranked.count()
-        return page_of(entry.ranked, page, size), page_counts(entry.total, page, size)
+        if (page, size) not in entry.pages:
+            first = max(1, page - 1)
+            # The page and its neighbours in one job of at most three pages.
+            rows = entry.ranked.offset((first - 1) * size).limit((page + 2 - first) * size).collect()
+            while len(entry.pages) > self.KEPT_PAGES:
+                entry.pages.pop(next(iter(entry.pages)))
+            for p in range(first, page + 2):
+                entry.pages[p, size] = rows[(p - first) * size : (p - first + 1) * size]
+        return entry.ranked.sparkSession.createDataFrame(entry.pages[page, size], entry.ranked.schema), page_counts(entry.total, page, size)

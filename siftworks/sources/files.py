@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +25,16 @@ def vocabulary_rows(documents: list[dict], category: str) -> list[tuple]:
     return rows
 
 
+def _whole(spark: SparkSession, path: str) -> str:
+    """The text of one small file, in whatever file system."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def read_vocabulary(spark: SparkSession, paths: list[str], category: str) -> DataFrame:
     """Concepts of one category from YAML files. A vocabulary is a small curated file, so it is read on the driver."""
     import yaml
 
-    return spark.createDataFrame(vocabulary_rows([yaml.safe_load(Path(p).read_text(encoding="utf-8")) for p in paths], category), CONCEPT)
+    return spark.createDataFrame(vocabulary_rows([yaml.safe_load(_whole(spark, p)) for p in paths], category), CONCEPT)
 
 
 def nested_concepts(tree: dict, parent: str | None = None) -> dict[str, dict]:
@@ -63,7 +67,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_object(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of the members of one JSON object; values as JSON text."""
-    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    found = json.loads(_whole(spark, path))
     return spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in found.items()], "key string, value string")
 
 

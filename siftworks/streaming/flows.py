@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from siftworks.functions.text import error_category, is_restricted
 from siftworks.operators.ingest import upsert
-from siftworks.sources.sinks import replace_table
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -51,22 +50,42 @@ def daily_quota(events: DataFrame, limit: int = 20, exempt: list[int] = ()) -> D
     return used.select("user_id", "usage_date", "used", F.when(F.col("user_id").isin(list(exempt)), 0).otherwise(over).cast("long").alias("rejected"), (F.col("usage_date") + F.expr("interval 1 day")).cast("timestamp").alias("resets_at"))
 
 
-def merge_into(path: str, keys: list[str], columns: list[str]):
-    """A foreachBatch function that merges each micro-batch into a Parquet table; batches sent again change nothing."""
+#: Column that lays a merged table out in folders.
+BUCKET = "_bucket"
+
+
+def merge_into(path: str, keys: list[str], columns: list[str], buckets: int = 64):
+    """A foreachBatch function that merges each micro-batch into a Parquet table; batches sent again change nothing.
+
+    The table lies in folders by a hash of the keys. Only folders that hold keys of the batch are read and replaced, so the work follows the batch and not the table once
+    there are more folders than a batch has keys in; `buckets` is fixed for a table's life. Readers drop `_bucket`."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = batch.withColumn(BUCKET, bucket)
+        # At most `buckets` numbers.
+        touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())
         try:
-            old = spark.read.parquet(path)
+            old = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = batch.limit(0)
-        replace_table(upsert(old, batch, keys, columns), path)
+        merged = upsert(old, batch, keys, columns).withColumn(BUCKET, bucket)
+        merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
     return run
 
 
+def cycle(spark: SparkSession, work: Callable[[int], None], every: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Runs `work(n)` every so often, one run at a time: a trigger that falls into a run is skipped, and the next run starts at the next multiple of the interval.
+    Micro-batches of a stream never overlap, so a stream of ticks is the clock; the query it gives is stopped like any other."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.trigger(processingTime=every).foreachBatch(lambda _, n: work(n))
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def classified_errors(lines: DataFrame) -> DataFrame:
     """(dataset, message, category) of failure lines of a log stream, the first per data set where duplicates are dropped by the caller."""
     fail = r"\[(?:FAIL|crawler)\]\s+(?:Error indexing\s+)?(ds\w+)(?:\s+\||:)\s+(.+?)(?:\s+\|\s+indexed=.*)?$"

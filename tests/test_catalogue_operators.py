@@ -164,8 +164,14 @@ def test_files(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.replace_table(spark.range(3), path)
-    sinks.replace_table(spark.read.parquet(path).filter("id > 0"), path, backup=True)
-    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(path + ".bak").count() == 3
+    sinks.replace_table(sinks.current_table(spark, path).filter("id > 0"), path, backup=True)
+    assert sinks.current_table(spark, path).count() == 2 and sinks.previous_table(spark, path).count() == 3
+    before = sinks.current_table(spark, path)
+    with pytest.raises(Exception):
+        sinks.replace_table(spark.range(3).select(F.raise_error(F.lit("broken")).alias("id")), path)
+    assert sinks.current_table(spark, path).count() == 2 and before.count() == 2
+    sinks.replace_table(spark.range(9), path)
+    assert sinks.current_table(spark, path).count() == 9 and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 1
     sinks.append_log(spark.range(1), str(tmp_path / "log"))
     sinks.append_log(spark.range(1), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).filter("ts IS NOT NULL").count() == 2
