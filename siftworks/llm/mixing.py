@@ -55,8 +55,9 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame = batch.select([0, 1]).to_pandas()
         key = frame.iloc[:, 0].astype(object).where(frame.iloc[:, 0].notna(), None)
         sums = frame.iloc[:, 1].groupby(key, dropna=False).cumsum() + key.map(lambda k: carried.get(k, 0))
-        for k, v in zip(key, sums):
-            carried[k] = v
+        # Sums only grow: a group's last one is its largest.
+        for k, v in sums.groupby(key, dropna=False).max().items():
+            carried[None if pd.isna(k) else k] = v
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums.astype("int64"), pa.int64())], names=[*batch.schema.names, "running"])
 
 
@@ -120,10 +121,11 @@ def mix(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_col
     chosen = spark.createDataFrame([(s, w, sizes[s], int(wanted[s][1])) for s, w in weights.items()], "source string, weight double, size long, max_repeats long")
     queue = sized.join(F.broadcast(chosen.select("source")), "source", "left_semi").withColumn("shuffle", F.xxhash64("id", F.lit(seed)))
     queue = prefix_sums(queue, "source", "tokens", [F.col("source"), F.col("shuffle"), F.col("id")])
-    uses = queue.join(F.broadcast(chosen), "source")
-    # Uses beyond the budget can't be in the mixture: a source supplies at most the whole budget.
-    uses = uses.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_repeats")))).withColumn("queued", F.col("running") + (F.col("use") - 1) * F.col("size"))
-    uses = uses.withColumn("finish", F.col("queued") / F.col("weight")).filter(F.col("queued") <= total)
+    uses = queue.join(F.broadcast(chosen), "source").filter(F.col("running") <= total)
+    # Uses beyond the budget can't be in the mixture, whatever is allowed: a source supplies at most the whole budget.
+    most = F.least(F.col("max_repeats"), F.floor((F.lit(total) - F.col("running")) / F.col("size")) + 1)
+    uses = uses.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), most))).withColumn("queued", F.col("running") + (F.col("use") - 1) * F.col("size"))
+    uses = uses.withColumn("finish", F.col("queued") / F.col("weight"))
     ranked = prefix_sums(uses.select("id", "use", "source", "tokens", "finish").withColumn("all", F.lit(0)), "all", "tokens", [F.col("finish"), F.col("source"), F.col("use"), F.col("id")])
     mixture = ranked.filter(F.col("running") <= total).select("id", "use", "source", "tokens", "finish", F.col("running").alias("position_tokens"))
     reached = mixture.groupBy("source").agg(F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("used"))

@@ -231,6 +231,14 @@ def test_budget_beyond_a_source(spark, mixture):
     assert small.agg(F.max("position_tokens")).first()[0] <= 50 and small.count() > 1
 
 
+def test_repeats_beyond_the_budget_are_never_made(spark):
+    docs = spark.createDataFrame([(i, "a", "lorem ipsum dolor") for i in range(4)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 1.0, 10**9)], "source string, target_share double, max_repeats long")
+    mixed, report = mixing.mix(docs, targets, budget=60)
+    tokens = report.first()["available_tokens"] // 4
+    assert mixed.count() == 60 // tokens and mixed.agg(F.max("position_tokens")).first()[0] <= 60
+
+
 def test_same_mixture_again_and_empty_tables(spark, mixture):
     docs, targets, mixed, _ = mixture
     assert rows(mixing.mix(docs.repartition(3), targets)[0]) == rows(mixed)
