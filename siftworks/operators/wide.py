@@ -147,7 +147,7 @@ class Builders:
 def stream(batches: Iterable[pa.RecordBatch], names: list[str], kinds: list[str], index: dict[str, int], id_name: str, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Wide batches from batches (entity, name, value) sorted by entity; a NULL name marks a row of the entity's own table, its value being JSON."""
     builders, typed, column_of = Builders(names, kinds), {}, {}
-    current, started, present, cells, given = None, False, False, {}, set()
+    current, started, present, seen, cells, given = None, False, False, None, {}, set()
 
     def put(name: str, text: str | None) -> None:
         column = column_of.get(name, -2)
@@ -184,9 +184,10 @@ def stream(batches: Iterable[pa.RecordBatch], names: list[str], kinds: list[str]
                         yield builders.flush(id_name)
                 current, started, present, cells, given = entity, True, False, {}, set()
             if name is None:
-                present = True
-                for member, content in members(value):
-                    put(member, as_text(content))
+                if not present or value != seen:
+                    for member, content in members(value):
+                        put(member, as_text(content))
+                present, seen = True, value
             else:
                 put(name, value)
     if started:
@@ -219,12 +220,13 @@ def widen(entities: DataFrame, json_column: str, attribute_rows: DataFrame, defs
     row of its own come out with `entity_present` false. NULL ids form one entity; an empty input gives no rows; other
     columns of the inputs, whatever their names, are not read. Values of any length are whole.
 
-    Equal rows are merged before each shuffle, so an entity redelivered or described by very many rows costs its distinct values only.
+    Each JSON text moves once, to the partition of its entity, where repeats lie side by side and are read once. Attribute rows, of which an owner may have very many, are
+    merged to distinct values before they move there.
     """
     names, kinds, index = definitions(defs, kind)
     if clash := {id_column, PRESENT, UNFIT} & set(names):
         raise ValueError(f"attribute names in use: {sorted(clash)}")
-    own = entities.select(F.col(id_column).cast("string").alias("e"), F.col(json_column).alias("v")).distinct()
+    own = entities.select(F.col(id_column).cast("string").alias("e"), F.col(json_column).alias("v"))
     single = (
         attribute_rows.filter(F.col("owner_kind") == kind)
         .filter(F.col("attr_name").isNotNull())
