@@ -13,12 +13,13 @@
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftworks.session import task_slots
+from siftworks.session import cut, task_slots
 
 _SEED_BIN = 7
 _SEED_SHARD = 11
@@ -26,12 +27,13 @@ _SEED_SHARD = 11
 
 @dataclass(frozen=True)
 class LoadPlan:
-    """Where rows go: `bins[b]` is the task of small-key bin b, `shards[key]` the tasks of a large key's shards."""
+    """Where rows go: `bins[b]` is the task of small-key bin b, `shards[key]` the tasks of a large key's shards. `total` is the number of rows counted."""
 
     slots: int
     bins: tuple[int, ...]
     shards: dict[object, tuple[int, ...]]
     loads: tuple[int, ...]
+    total: int = 0
 
 
 def pack(slots: int, bin_loads: dict[int, int], large: dict[object, int], n_bins: int) -> LoadPlan:
@@ -66,7 +68,7 @@ def pack(slots: int, bin_loads: dict[int, int], large: dict[object, int], n_bins
             bins[which] = t
         else:
             shards.setdefault(which, []).append(t)
-    return LoadPlan(slots, tuple(bins), {k: tuple(v) for k, v in shards.items()}, tuple(loads))
+    return LoadPlan(slots, tuple(bins), {k: tuple(v) for k, v in shards.items()}, tuple(loads), total)
 
 
 def estimate(df: DataFrame, key: str, slots: int | None = None, bins_per_slot: int = 16, split_at: float = 4.0) -> LoadPlan:
@@ -76,8 +78,9 @@ def estimate(df: DataFrame, key: str, slots: int | None = None, bins_per_slot: i
     """
     slots = slots or task_slots(df.sparkSession)
     n_bins = slots * bins_per_slot
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    # One narrow row per key, written once: the rows are read a single time.
+    counts = cut(df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(1.0, total / (slots * split_at))
     large_side = F.col("n") >= F.lit(limit)
     histogram = (
@@ -102,7 +105,9 @@ def _lookup(df: DataFrame, plan: LoadPlan, key: str) -> DataFrame:
 
 def _bin_task(plan: LoadPlan, key: Column) -> Column:
     n_bins = len(plan.bins)
-    return F.element_at(F.array(*map(F.lit, plan.bins)), (F.pmod(F.xxhash64(key, F.lit(_SEED_BIN)), F.lit(n_bins)) + 1).cast("int"))
+    # One literal, however many bins there are.
+    bins = F.from_json(F.lit(json.dumps(plan.bins)), "array<int>")
+    return F.element_at(bins, (F.pmod(F.xxhash64(key, F.lit(_SEED_BIN)), F.lit(n_bins)) + 1).cast("int"))
 
 
 def place(df: DataFrame, plan: LoadPlan, key: str, spread: list[str]) -> DataFrame:
@@ -125,7 +130,7 @@ def _reserved(df: DataFrame) -> None:
         raise ValueError(f"reserved column names in the input: {sorted(clash)}")
 
 
-def balanced_counts(facts: DataFrame, key: str, identity: str, distinct: dict[str, str], match: DataFrame | None = None, match_columns: list[str] = (), slots: int | None = None) -> DataFrame:
+def balanced_counts(facts: DataFrame, key: str, identity: str, distinct: dict[str, str], match: DataFrame | None = None, match_columns: list[str] = (), slots: int | None = None, plan: LoadPlan | None = None) -> DataFrame:
     """Per key: delivered rows, distinct `identity` values, and distinct non-NULL values of each column in `distinct`.
 
     Result: key, `n_rows`, `n_files`, one column per entry of `distinct` (output name -> column), then `match_columns`
@@ -133,13 +138,13 @@ def balanced_counts(facts: DataFrame, key: str, identity: str, distinct: dict[st
     there. NULL keys form a group of their own; rows with a NULL identity count in `n_rows` only; repeated rows count once in
     `n_files`; an empty input gives no rows; other columns, whatever their names, are not read.
 
-    Rows are pre-aggregated per (key, identity) before and after the placing shuffle, and per distinct value combination
-    before the last, small exchange, so a key that holds a third of all rows is never in one task.
+    The columns asked for are placed once, row by row. Rows are merged per (key, identity, values) in their task, and per distinct value combination
+    before the last, small exchange, so a key that holds a third of all rows is never in one task. `plan` is an estimate made before.
     """
     names = list(dict.fromkeys(distinct.values()))
     rows = facts.select(F.col(key).alias("key"), F.col(identity).alias("identity"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
     values = [f"v{i}" for i in range(len(names))]
-    plan = estimate(rows, "key", slots)
+    plan = plan or estimate(rows, "key", slots)
     placed = place(rows, plan, "key", ["key", "identity"])
     if match is not None:
         side = match.groupBy(F.col(key).alias("key")).agg(*[F.min(c).alias(f"m{i}") for i, c in enumerate(match_columns)])
@@ -163,5 +168,6 @@ def balanced_counts(facts: DataFrame, key: str, identity: str, distinct: dict[st
 def heavy_keys(facts: DataFrame, key: str, identity: str, share: float, distinct: dict[str, str], slots: int | None = None) -> DataFrame:
     """Keys that hold at least `share` of all rows, repeated rows and rows without a key counted in the total; NULL is no
     key. Ties at the limit are in. The rows come from `balanced_counts`."""
-    counts = balanced_counts(facts, key, identity, distinct, slots=slots)
-    return counts.filter(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share * facts.count())))
+    plan = estimate(facts, key, slots)
+    counts = balanced_counts(facts, key, identity, distinct, plan=plan)
+    return counts.filter(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share * plan.total)))
