@@ -109,10 +109,15 @@ def ranked_examples(examples: DataFrame, asked: DataFrame, families: list[str],
     shared = keys_a.join(keys_e, "k").groupBy("ask", "question").agg(F.count_if(F.col("k").startswith("c")).alias("code_overlap"), F.count_if(F.col("k").startswith("w")).alias("word_overlap"))
     near = shared.join(e.select("question", "family"), "question").join(a.select("ask", "_family"), "ask")
     priority = lambda own: F.when(F.col("family") == own, 2).when(F.col("family").isin(families), 1).otherwise(0)
-    # The first examples of each family, enough to fill up any request.
+    # The first examples of the request's family, of the listed ones and of all: enough to fill up any request.
+    each = e.select("question", "family")
     w = Window.partitionBy("family").orderBy("question")
-    fill = e.select("question", "family").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 2 * most).drop("n")
-    spare = a.select("ask", "_family").join(F.broadcast(fill)).join(shared.select("ask", "question"), ["ask", "question"], "left_anti").select("ask", "question", F.lit(0).cast("long").alias("code_overlap"), F.lit(0).cast("long").alias("word_overlap"), "family", "_family")
+    own = a.select("ask", "_family").join(each.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 2 * most).drop("n"), F.col("_family") == F.col("family"))
+    first = [r for part in (each.filter(F.col("family").isin(families)), each) for r in part.orderBy("question").limit(2 * most).collect()]
+    fixed = F.array(*[F.struct(F.lit(r["question"]).alias("question"), F.lit(r["family"]).alias("family")) for r in first])
+    other = a.select("ask", "_family", F.explode(fixed).alias("x")).select("ask", "_family", "x.*") if first else own.limit(0)
+    spare = own.select("ask", "_family", "question", "family").unionByName(other.select("ask", "_family", "question", "family")).dropDuplicates(["ask", "question"])
+    spare = spare.join(shared.select("ask", "question"), ["ask", "question"], "left_anti").select("ask", "question", F.lit(0).cast("long").alias("code_overlap"), F.lit(0).cast("long").alias("word_overlap"), "family", "_family")
     order = Window.partitionBy("ask").orderBy(F.desc("code_overlap"), F.desc("word_overlap"), F.desc(priority(F.col("_family"))), "question")
     return near.select(*spare.columns).unionByName(spare).withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most).select("ask", "question", "family", "code_overlap", "word_overlap", "place")
 

@@ -84,7 +84,7 @@ def paging(total: Column, page: int, size: int) -> tuple[Column, Column]:
 def participants_of(cat: Catalogue, page: DataFrame, most: int = 50) -> DataFrame:
     """Up to `most` participants per dataset of a page, in order of participant id."""
     people = cat.participants.drop("crawled_at").dropDuplicates(["id"])
-    wanted = people.join(F.broadcast(page.select(F.col("id").alias("dataset_id"))), "dataset_id", "left_semi")
+    wanted = people.join(page.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
     w = Window.partitionBy("dataset_id").orderBy("participant_id", "id")
     return wanted.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= most)
 

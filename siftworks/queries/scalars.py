@@ -45,11 +45,10 @@ SQL["url_extract"] = """SELECT id, coalesce(array_to_string(list(u ORDER BY i) F
     SELECT k, id, u, row_number() OVER (PARTITION BY k ORDER BY i) AS i FROM (SELECT k, id, u, min(i) AS i FROM (
         SELECT k, id, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS u, generate_subscripts(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END, 1) AS i FROM (
             SELECT row_number() OVER () AS k, id, regexp_extract_all(concat_ws(' ', array_to_string(paper_references, ' '), remote_url), 'https?://\\S+') AS l FROM bids_datasets)) GROUP BY k, id, u)) GROUP BY k, id"""
-_over("str12_doi", "bids_datasets", "id", lambda: text.doi(F.concat(F.lit("see "), "doi", F.lit(".);"))), "nullif(regexp_replace(regexp_extract('see ' || doi || '.);', '\\b(10\\.\\d{4,}/\\S+)', 1), '[.,;)]+$', ''), '')")
+_over("str12_doi", "bids_datasets", "id", lambda: text.doi(F.concat_ws(" ", "readme_text", "paper_references", "doi")), "nullif(regexp_replace(regexp_extract(concat_ws(' ', readme_text, nullif(array_to_string(paper_references, ' '), ''), doi), '\\b(10\\.\\d{4,}/\\S+)', 1), '[.,;)]+$', ''), '')")
 _over("str13_first_words", "documents", "doc_id", lambda: text.first_words(F.col("text"), 12),
       "CASE WHEN len(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0b\\f\\r]+')) > 12 THEN array_to_string(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0b\\f\\r]+')[1:12], ' ') || ' [...]' ELSE text END")
-_over("str15_strip_nuls", "documents", "doc_id", lambda: F.length(documents.strip_nuls(F.col("text"))).cast("long"), "length(replace(replace(text, chr(0), ''), '\\u0000', ''))")
-SQL.pop("str15_strip_nuls")
+_over("str15_strip_nuls", "documents", "doc_id", lambda: F.md5(documents.strip_nuls(F.regexp_replace("text", "[ae]", "$0\x00\\\\u0000"))), "md5(text)")
 _over("edit_distance", "part", "p_partkey", lambda: F.levenshtein("p_name", "p_type").cast("long"), "levenshtein(p_name, p_type)")
 _over("str19_threshold", "part", "p_partkey", lambda: F.lit(80.0) + (F.lit(1.0) - F.col("p_size") / F.lit(50.0)) * 8.0, "80.0::DOUBLE + (1.0::DOUBLE - p_size / 50.0::DOUBLE) * 8.0::DOUBLE")
 _over("str27_author_line", "bids_datasets", "id", lambda: text.author_line(F.col("authors")), "CASE WHEN len(authors) > 3 THEN array_to_string(authors[1:3], ', ') || ' +' || (len(authors) - 3) ELSE array_to_string(authors, ', ') END", where="authors IS NOT NULL")
@@ -64,16 +63,17 @@ _over("str24_unknown_tables", "documents", "doc_id", lambda: F.array_join(text.u
       "CASE WHEN source IN ('readme', 'bids_datasets') THEN '' ELSE regexp_extract(source, '^[a-z_][a-z0-9_]*') END", where="source IS NOT NULL")
 _over("str26_codes_in_sql", "bids_objects", "id", lambda: F.array_join(text.codes_in_sql(F.concat(F.lit("o.suffix = '"), "suffix", F.lit("' AND p.suffix IN ('T1w', '"), "datatype", F.lit("')")), "suffix"), "|"),
       "CASE WHEN suffix = 'T1w' THEN suffix || CASE WHEN datatype <> suffix THEN '|' || datatype ELSE '' END ELSE suffix || '|T1w' || CASE WHEN datatype NOT IN (suffix, 'T1w') THEN '|' || datatype ELSE '' END END")
-_over("str7_without_descriptors", "bids_objects", "id", lambda: text.without_words(F.col("task"), text.DESCRIPTORS), None)
+_over("str7_without_descriptors", "documents", "doc_id", lambda: F.md5(text.without_words(F.col("text"), text.DESCRIPTORS)),
+      "md5(coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in text.DESCRIPTORS) + ")), ' '), ''), lower(text)))")
 _over("flt19_truncate", "bids_datasets", "id", lambda: F.substring("description_text", 1, 40), "description_text[1:40]")
 _over("js4_json_array", "bids_datasets", "id", lambda: F.array_join(documents.string_array(F.to_json(F.struct(F.col("authors"))), "authors"), "|"), "array_to_string(authors, '|')")
-_over("js5_scalar_or_list", "bids_datasets", "id", lambda: F.array_join(documents.as_list(F.concat(F.lit('{"License": "'), "license", F.lit('"}')), "License"), "|"), "nullif(trim(license, ' '), '')", where="license IS NOT NULL")
+_over("js5_scalar_or_list", "bids_objects", "id", lambda: F.array_join(documents.as_list(F.col("other_entities"), "dir"), "|"), "nullif(trim(json_extract_string(CASE WHEN json_valid(other_entities) THEN other_entities END, '$.dir'), ' '), '')")
+_over("js5_list_member", "bids_datasets", "id", lambda: F.array_join(documents.as_list(F.to_json(F.struct("institutions")), "institutions"), "|"), "CASE WHEN len(institutions) > 0 THEN array_to_string(institutions, '|') END")
 _over("js7_promote", "bids_datasets", "id", lambda: documents.promoted(F.col("license")), "nullif(trim(license, ' '), '')")
 _over("js3_member_exists", "events", "event_id", lambda: documents.member(F.col("props"), "k").isNotNull(), "json_extract_string(props, '$.k') IS NOT NULL")
 _over("js2_event_number", "events", "event_id", lambda: documents.number(F.col("props"), "k"), "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)")
-_over("js6_without_members", "events", "event_id", lambda: documents.without_members(F.col("props"), ["k"]), "'{}'")
-_over("js9_repair", "bids_objects", "id", lambda: documents.repaired_json(F.col("other_entities")), None)
-_over("str14_decode", "documents", "doc_id", lambda: documents.decoded(F.encode("text", "UTF-16")) == F.col("text"), None)
+_over("js9_repair", "bids_objects", "id", lambda: documents.repaired_json(F.col("other_entities")), "CASE WHEN json_valid(other_entities) THEN other_entities WHEN other_entities IS NOT NULL THEN '{}' END")
+_over("str14_decode", "documents", "doc_id", lambda: F.md5(documents.decoded(F.encode("text", "UTF-16"))), "md5(text)")
 _over("js10_positions_to_text", "documents", "doc_id", lambda: documents.positions_to_text(F.map_from_entries(F.transform(F.array_distinct(F.slice(F.split("source", "_"), 1, 3)), lambda w, i: F.struct(w, F.array(i, i + 5))))),
       "CASE WHEN contains(source, '_') THEN string_split(source, '_')[1] || ' ' || string_split(source, '_')[2] || ' ' || string_split(source, '_')[1] || ' ' || string_split(source, '_')[2] ELSE source || ' ' || source END", where="source IS NOT NULL")
 _over("ma1_weight", "part", "p_partkey", lambda: F.bround(F.greatest(F.lit(0.1), F.lit(0.4) * F.least(F.lit(1.0), F.log2(F.col("p_size") + F.lit(1.0)) / F.log2(F.lit(11.0)))), 6),
@@ -129,4 +129,18 @@ def so4_scope_union(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("raw").agg(F.array_join(F.array_sort(F.collect_set("dataset_id")), "|").alias("scope"))
 
 
+def js6_without_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members but two, with their types: numbers stay numbers and text stays text."""
+    df = table(spark, d, "bids_objects").select("id", documents.without_members(F.col("other_entities"), ["dir", "acq"]).alias("j")).distinct()
+    each = df.select("id", F.explode(F.try_variant_get(F.try_parse_json("j"), "$", "map<string,variant>")).alias("member", "value"))
+    kind = F.schema_of_variant("value")
+    number = F.try_variant_get("value", "$", "double")
+    shown = F.when(kind == "STRING", F.concat(F.lit('"'), F.try_variant_get("value", "$", "string"), F.lit('"'))).when(kind == "BOOLEAN", F.try_variant_get("value", "$", "string")).otherwise(F.round(number, 6).cast("string"))
+    return each.select("id", "member", shown.alias("value"))
+
+
+_register(js6_without_members, """WITH o AS (SELECT DISTINCT id, json_merge_patch(other_entities, '{"dir": null, "acq": null}') AS j FROM bids_objects WHERE json_valid(other_entities) AND json_type(other_entities) = 'OBJECT'), m AS (SELECT id, j, unnest(json_keys(j)) AS member FROM o)
+    SELECT id, member, CASE json_type(j, '$."' || member || '"') WHEN 'VARCHAR' THEN '"' || json_extract_string(j, '$."' || member || '"') || '"' WHEN 'BOOLEAN' THEN json_extract_string(j, '$."' || member || '"') ELSE CAST(round(CAST(json_extract_string(j, '$."' || member || '"') AS DOUBLE), 6) AS VARCHAR) END AS value FROM m""")
+
+
 _register(so4_scope_union, "SELECT lower(diagnosis) AS raw, array_to_string(list_sort(list(DISTINCT dataset_id)), '|') AS scope FROM bids_participants WHERE diagnosis <> '' GROUP BY lower(diagnosis)")

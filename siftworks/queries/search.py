@@ -86,8 +86,13 @@ _plan("qf15_json_exists", QueryPlan(Family.METADATA, metadata=(MetadataFilter("v
 _plan("qf15_json_text", QueryPlan(Family.METADATA, metadata=(MetadataFilter("Manufacturer", "=", "corvex"),)), _sql(_O.format(f"{_J.format('Manufacturer')} ILIKE '%corvex%'")))
 _plan("qf16_sessions", QueryPlan(Family.SESSION, min_sessions=3), _sql("d.id IN (SELECT dataset_id FROM bids_objects WHERE subject IS NOT NULL GROUP BY dataset_id, subject HAVING count(DISTINCT session) >= 3)"))
 _plan("qf17_topn", QueryPlan(Family.RANKING, order_by="subject_count", limit=25), _sql("true", tail="ORDER BY subject_count DESC NULLS LAST, d.id LIMIT 25"))
-_plan("qf18_avg", QueryPlan(Family.AGGREGATE, metric="avg_age"), "", ("id", "metric_value"))
-SQL.pop("qf18_avg", None)
+
+
+@_query("qf18_avg", f"WITH {_D}, a AS (SELECT DISTINCT dataset_id, participant_id, age FROM bids_participants WHERE age >= 0 AND NOT isnan(age)) SELECT d.id, (SELECT round(avg(age), 6) FROM a WHERE a.dataset_id = d.id) AS metric_value FROM d")
+def _mean_age(spark: SparkSession, d: str) -> DataFrame:
+    return compile_plan(QueryPlan(Family.AGGREGATE, metric="avg_age"), Catalogue(spark, d)).select("id", F.round("metric_value", 6).alias("metric_value"))
+
+
 _plan("qf18_participants", QueryPlan(Family.AGGREGATE, metric="participant_count"),
       f"WITH {_D} SELECT d.id, (SELECT CAST(count(DISTINCT participant_id) AS DOUBLE) FROM bids_participants p WHERE p.dataset_id = d.id HAVING count(*) > 0) AS metric_value FROM d", ("id", "metric_value"))
 _plan("qf19_combined", lambda c: QueryPlan(Family.COMBINED, cohorts=(Cohort(handedness=_spelt(c, "handedness", "right")),), scans=(Scan(datatype=("func",)), Scan(datatype=("eeg",), required=False)), doi_required=True, min_subjects=2),
@@ -145,10 +150,10 @@ def _total(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("participants_capped", """SELECT dataset_id, participant_id, position FROM (
     SELECT dataset_id, participant_id, row_number() OVER (PARTITION BY dataset_id ORDER BY participant_id NULLS FIRST, id) AS position FROM (SELECT DISTINCT ON (id) * FROM bids_participants)
-    WHERE dataset_id IN (SELECT id FROM bids_datasets WHERE license = 'PDDL')) WHERE position <= 50""")
+    WHERE dataset_id IN (SELECT id FROM bids_datasets)) WHERE position <= 50""")
 def _participants(spark: SparkSession, d: str) -> DataFrame:
     cat = Catalogue(spark, d)
-    return ranking.participants_of(cat, cat.datasets.filter("license = 'PDDL'")).select("dataset_id", "participant_id", F.col("position").cast("long").alias("position"))
+    return ranking.participants_of(cat, cat.datasets).select("dataset_id", "participant_id", F.col("position").cast("long").alias("position"))
 
 
 @_query("jn1_left_outer_counts", "SELECT d.id, count(DISTINCT o.subject) AS subject_count, count(DISTINCT o.id) AS files FROM (SELECT DISTINCT id FROM bids_datasets) d LEFT JOIN bids_objects o ON o.dataset_id = d.id AND o.subject IS NOT NULL GROUP BY d.id")
