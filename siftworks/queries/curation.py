@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftworks.functions import documents
 from siftworks.operators import curation, evaluation, ingest, resolver, vectors, vocabulary
+from siftworks.queries.ratios import scored
 from siftworks.session import table
 from siftworks.streaming import flows
 
@@ -122,17 +123,26 @@ def tr1_exact(spark: SparkSession, d: str) -> DataFrame:
     return resolver.exact(_terms(spark, d), groups, leaves)
 
 
-@_query()
+@_query(f"""WITH t AS (SELECT DISTINCT diagnosis AS term, lower(trim(diagnosis, ' ')) AS q FROM bids_participants WHERE trim(diagnosis, ' ') <> ''),
+    v AS (SELECT term, 0 AS i, q FROM t UNION ALL SELECT term, 1, CASE WHEN q LIKE '%s' AND q NOT LIKE '%ss' THEN q[:-2] ELSE q || 's' END FROM t UNION ALL SELECT term, 2, CASE WHEN q LIKE '%ies' THEN q[:-4] || 'y' WHEN q LIKE '%y' THEN q[:-2] || 'ies' END FROM t),
+    l AS (SELECT standard_code AS code, lower(unnest(list_concat([label, standard_code], synonyms))) AS q FROM vocab_terms WHERE field_name = 'diagnosis'), x AS (SELECT term, min_by(code, i) AS code FROM v JOIN l USING (q) GROUP BY term),
+    g AS (SELECT DISTINCT lower(trim(unnest(list_concat([label], synonyms)))) AS b, standard_code AS code FROM vocab_terms WHERE field_name = 'diagnosis' UNION ALL SELECT 'diagnosis', standard_code FROM vocab_terms WHERE field_name = 'diagnosis'),
+    p AS (SELECT DISTINCT t.q AS a, g.b FROM t, g WHERE t.term NOT IN (SELECT term FROM x) AND length(g.b) >= 3), {scored('p')},
+    best AS (SELECT a, b, weighted AS points FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weighted DESC, length(b) DESC, b) AS n FROM scores) WHERE n = 1)
+    SELECT term, code, 1.0::DOUBLE AS score, 'exact' AS path FROM x UNION ALL SELECT t.term, g.code, round(points / 100, 6), 'fuzzy' FROM best JOIN t ON t.q = best.a JOIN g ON g.b = best.b WHERE points >= 80 AND t.term NOT IN (SELECT term FROM x)""")
 def tr4_resolve(spark: SparkSession, d: str) -> DataFrame:
     groups, leaves, display = _lookups(spark, d, "diagnosis")
-    return resolver.resolve(_terms(spark, d), groups, leaves, display)
+    return resolver.resolve(_terms(spark, d), groups, leaves, display).withColumn("score", F.round("score", 6))
+
+
+_ASKED = ("Nansohut Olivia", "gregory pukgicet", "Wolceliv")
 
 
-@_query()
+@_query(f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in _ASKED)}) v(term)), n AS (SELECT DISTINCT name FROM (SELECT unnest(authors) AS name FROM bids_datasets) WHERE name <> ''), p AS (SELECT lower(term) AS a, lower(name) AS b FROM t, n), {scored('p', False)},
+    f AS (SELECT term, name, token_set, row_number() OVER (PARTITION BY term ORDER BY token_set DESC, name) AS place FROM t, n JOIN scores ON scores.b = lower(name) AND scores.a = lower(term) WHERE token_set >= 60) SELECT term, name, round(token_set / 100, 6) AS score, place FROM f WHERE place <= 20""")
 def tr8_names(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "bids_datasets").select(F.explode("authors").alias("name")).filter("name <> ''").distinct()
-    terms = spark.createDataFrame([("Nansohut Olivia",), ("gregory pukgicet",), ("Wolceliv",)], "term string")
-    return resolver.names(terms, listed)
+    return resolver.names(spark.createDataFrame([(x,) for x in _ASKED], "term string"), listed).select("term", "name", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @_query("""WITH t(term) AS (SELECT DISTINCT lower(trim(task, ' ')) FROM bids_objects WHERE task IS NOT NULL) SELECT term, 'datatype' AS field FROM t UNION ALL SELECT term, 'suffix' FROM t WHERE term NOT IN ('brain scan') UNION ALL SELECT term, 'task' FROM t WHERE term NOT IN ('qr', 'brain scan')""")
@@ -262,9 +272,12 @@ def _vocabulary_terms(spark: SparkSession, d: str) -> DataFrame:
     return labels.unionByName(v.select(F.col("field_name").alias("field"), F.col("standard_code").alias("key"), F.explode("synonyms").alias("term"), F.lit("synonym").alias("kind"), F.lit(1.0).alias("weight")))
 
 
-@_query()
+@_query(f"""WITH s AS (SELECT DISTINCT field_name AS field, standard_code AS source_key, lower(unnest(synonyms)) AS a FROM vocab_terms), g AS (SELECT DISTINCT field_name AS field, standard_code AS target_key, lower(label) AS b, 'label' AS target_kind FROM vocab_terms UNION SELECT field_name, standard_code, lower(unnest(synonyms)), 'synonym' FROM vocab_terms),
+    m AS (SELECT * FROM s JOIN g USING (field) WHERE source_key <> target_key), p AS (SELECT DISTINCT a, b FROM m), {scored('p')}
+    SELECT field, source_key, a AS source_term, target_key, b AS target_term, target_kind, round(weighted, 4) AS score, CASE WHEN weighted >= 100 THEN 'CRITICAL' WHEN weighted >= 95 THEN 'HIGH' WHEN weighted >= 90 THEN 'MEDIUM' END AS severity FROM m JOIN scores USING (a, b) WHERE weighted >= 70""")
 def jn14_fuzzy_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return curation.fuzzy_collisions(_vocabulary_terms(spark, d), 70.0)
+    found = curation.fuzzy_collisions(_vocabulary_terms(spark, d), 70.0)
+    return found.select("field", "source_key", "source_term", "target_key", "target_term", "target_kind", F.round("score", 4).alias("score"), "severity")
 
 
 @_query("SELECT o_orderpriority AS field, count(*) FILTER (o_totalprice >= 300000) AS \"CRITICAL\", count(*) FILTER (o_totalprice >= 150000 AND o_totalprice < 300000) AS \"HIGH\", count(*) FILTER (o_totalprice < 150000) AS \"MEDIUM\" FROM orders GROUP BY o_orderpriority")

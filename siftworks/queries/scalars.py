@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.functions import documents, similarity, text
+from siftworks.queries.ratios import scored
 from siftworks.session import table
 
 QUERIES: dict = {}
@@ -83,6 +84,9 @@ _over("dt1_day_and_reset", "events", "event_id", lambda: F.date_format(F.col("ts
 _over("dt3_expired", "events", "event_id", lambda: F.col("ts") + F.expr("interval 30 minutes") < F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), "ts + INTERVAL 30 MINUTE < TIMESTAMP '2024-01-05 00:00:00'")
 _over("str16_weighted_ratio", "part", "p_partkey", lambda: F.round(similarity.weighted_ratio_of(F.lower("p_name"), F.lower("p_type")), 4), None)
 _over("str17_token_set_ratio", "part", "p_partkey", lambda: F.round(similarity.token_set_ratio_of(F.lower("p_name"), F.lower("p_type")), 4), None)
+_PAIRS = "WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), "
+SQL["str16_weighted_ratio"] = _PAIRS + scored("p") + " SELECT p_partkey, round(weighted, 4) AS result FROM p JOIN scores USING (a, b)"
+SQL["str17_token_set_ratio"] = _PAIRS + scored("p", False) + " SELECT p_partkey, round(token_set, 4) AS result FROM p JOIN scores USING (a, b)"
 
 
 def _register(f, sql: str | None = None):
