@@ -171,7 +171,7 @@ class Labels:
     def __init__(self, labels: list[str]):
         self.labels = labels
         self.letters = {c: i for i, c in enumerate(sorted({c for x in labels for c in x}))}
-        self.counts = np.array([self._counts(x) for x in labels], np.int16).reshape(len(labels), -1)
+        self.counts = np.array([self._counts(x) for x in labels], np.int16).reshape(len(labels), len(self.letters))
         self.sizes = np.array([len(x) for x in labels], np.float64)
         self.words: dict[str, list[int]] = {}
         for i, x in enumerate(labels):

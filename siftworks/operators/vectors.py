@@ -16,17 +16,17 @@ BLOCK = 2048
 
 
 def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(block, ids, vectors, groups) of rows (id, vector, group), about `size` distinct ids per block. NULL vectors are left out."""
+    """(group, block, ids, vectors) of rows (id, vector, group), about `size` distinct ids per block and no block with two groups. NULL vectors are left out; NULL is a
+    group like any other."""
     rows = vectors.filter(F.col("vector").isNotNull()).select("id", "vector", "group").dropDuplicates(["id"])
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "vector", "group")).alias("r")).select("block", F.col("r.id").alias("ids"), F.col("r.vector").alias("vectors"), F.col("r.group").alias("groups"))
+    sizes = rows.groupBy(F.col("group").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_n"))
+    placed = rows.join(sizes, F.col("group").eqNullSafe(F.col("_g"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    return placed.groupBy("group", "block").agg(F.collect_list(F.struct("id", "vector")).alias("r")).select("group", "block", F.col("r.id").alias("ids"), F.col("r.vector").alias("vectors"))
 
 
-def _both(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
+def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, right = (df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns]) for df, x in ((a, "a"), (b, "b")))
-    pairs = left.crossJoin(right)
-    pairs = pairs.filter("block_a <= block_b") if ordered else pairs
-    return pairs.repartition(F.col("block_a"), F.col("block_b"))
+    return left, right
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -43,14 +43,14 @@ def pairs_above(vectors: DataFrame, least: float, size: int = BLOCK) -> DataFram
                 scores = _matrix(r.vectors_a) @ _matrix(r.vectors_b).T
                 i, j = np.nonzero(scores >= least)
                 a, b = np.asarray(r.ids_a, dtype=object)[i], np.asarray(r.ids_b, dtype=object)[j]
-                keep = np.asarray([x == y for x, y in zip(np.asarray(r.groups_a, dtype=object)[i], np.asarray(r.groups_b, dtype=object)[j])], dtype=bool) & (a != b)
-                if r.block_a == r.block_b:
-                    keep &= np.asarray(a < b, dtype=bool)
+                keep = np.asarray(a < b if r.block_a == r.block_b else a != b, dtype=bool)
                 swap = np.asarray(a > b, dtype=bool)
                 yield pd.DataFrame({"id_a": np.where(swap, b, a)[keep], "id_b": np.where(swap, a, b)[keep], "score": scores[i, j][keep]})
 
-    blocks = packed(vectors, size)
-    return _both(blocks, blocks, True).mapInPandas(run, f"id_a {kind}, id_b {kind}, score double")
+    # Only blocks of one group meet, each pair once, in a task of its own.
+    left, right = _sides(*[packed(vectors, size)] * 2)
+    met = left.join(right, F.col("group_a").eqNullSafe(F.col("group_b")) & (F.col("block_a") <= F.col("block_b")))
+    return met.repartition(F.col("group_a"), F.col("block_a"), F.col("block_b")).mapInPandas(run, f"id_a {kind}, id_b {kind}, score double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 1, size: int = BLOCK) -> DataFrame:
@@ -71,6 +71,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 1, size: int = BLOC
 
     none = F.lit(None).cast("int").alias("group")
     q, v = (packed(df.select("id", "vector", none), size) for df in (queries, vectors))
-    local = _both(q, v, False).mapInPandas(run, f"query_id {kind}, id {kind}, score double")
+    # A stated query set against all rows: every block of one side with every block of the other.
+    left, right = _sides(q, v)
+    local = left.join(right, F.col("group_a").eqNullSafe(F.col("group_b"))).repartition(F.col("block_a"), F.col("block_b")).mapInPandas(run, f"query_id {kind}, id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return local.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

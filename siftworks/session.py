@@ -20,6 +20,8 @@ def build_session(app: str = "siftworks", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Checkpoint files go with the frames that were cut.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -84,6 +86,6 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan before row-wise Python work: with fewer partitions than cores its rows are dealt out, else it stays as it is.
 
-    Only small or badly split inputs move; a large table has more splits than there are cores."""
+    Only small or badly split inputs move (one Parquet row group can't be split by a reader setting); a large table has more splits than there are cores."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
