@@ -449,3 +449,9 @@ def pairs(linked: DataFrame) -> DataFrame:
     """(field_name, name_a, name_b): every pair of different spellings of one entity, name_a < name_b by code point."""
     a, b = (linked.select("field_name", "entity", F.col("name").alias(f"name_{x}")) for x in "ab")
     return a.join(b, ["field_name", "entity"]).filter("name_a < name_b").select("field_name", "name_a", "name_b")
+
+
+def classes(linked: DataFrame) -> DataFrame:
+    """(field_name, name, entity, links): one row per string, with the number of other spellings of its entity. The links of `pairs`, not expanded."""
+    sizes = linked.groupBy("field_name", "entity").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return linked.join(sizes, ["field_name", "entity"]).select("field_name", "name", "entity", "links")

@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _linked(spark, d)
+    return names.classes(_linked(spark, d))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -34,6 +34,12 @@ def test_groups(spark):
     assert [x for x in got if "Nansohut OK" not in x] == sorted(expected)
 
 
+def test_classes_count_the_links_of_pairs(spark):
+    linked = names.link(strings(spark), KINDS)
+    ends = rows(names.pairs(linked).selectExpr("field_name", "explode(array(name_a, name_b)) AS name").groupBy("field_name", "name").count())
+    assert rows(names.classes(linked).filter("links > 0").select("field_name", "name", "links")) == ends
+
+
 def test_initials_join_the_only_person_they_fit(spark):
     df = spark.createDataFrame([("authors", s) for s in ("Rita Wozofas", "R. Wozofas", "Wozofas RA", "S. Wozofas", "Wozofas, S. T.")], "field_name string, name string")
     assert rows(names.pairs(names.link(df, KINDS)), "name_a", "name_b") == [("R. Wozofas", "Rita Wozofas"), ("R. Wozofas", "Wozofas RA"), ("Rita Wozofas", "Wozofas RA"), ("S. Wozofas", "Wozofas, S. T.")]
