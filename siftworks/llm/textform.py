@@ -164,7 +164,8 @@ def _spellings(keys: DataFrame) -> DataFrame:
 
 def spelling_pairs(keys: DataFrame) -> DataFrame:
     """(raw_x, raw_y, copies_x, copies_y), raw_x < raw_y: different texts that look the same, each pair once, however many documents hold them."""
-    a, b = (_spellings(keys).select("seen", F.col("raw").alias(f"raw_{s}"), F.col("copies").alias(f"copies_{s}")) for s in "xy")
+    spellings = _spellings(keys)
+    a, b = (spellings.select("seen", F.col("raw").alias(f"raw_{s}"), F.col("copies").alias(f"copies_{s}")) for s in "xy")
     return a.join(b, "seen").filter("raw_x < raw_y").drop("seen")
 
 
@@ -178,7 +179,7 @@ def look_alike_pairs(docs: DataFrame, text_column: str = "text", id_column: str
     expanding them."""
     # Narrow digests, written once: the texts are read and worked on a single time.
     keys = cut(with_keys(docs, text_column, id_column, confusables).distinct())
-    pairs = spelling_pairs(keys)
+    pairs = cut(spelling_pairs(keys))
     x, y = (_dealt(keys, pairs, s, chunk) for s in "xy")
     met = x.join(y, ["raw_x", "chunk_x", "raw_y", "chunk_y"]).filter("id_x <> id_y")
     return met.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")).distinct()
