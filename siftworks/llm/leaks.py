@@ -444,13 +444,13 @@ def _scan(texts: DataFrame, ready: object) -> DataFrame:
 
 def _merged(seen: DataFrame) -> DataFrame:
     """(sentence, beside) once per group of near copies: the least label over all shared bands, twice. A chain of near copies longer than that counts as several."""
-    labelled = seen.withColumn("row", F.xxhash64("bands")).withColumn("label", F.col("row"))
+    rows = cut(seen.withColumn("row", F.xxhash64("bands")))
+    each = rows.select("sentence", "row", F.posexplode("bands").alias("band", "value"))
+    labels = rows.select("sentence", "row", F.col("row").alias("label"))
     for _ in range(2):
-        each = labelled.select("sentence", "row", "label", F.posexplode("bands").alias("band", "value"))
-        least = each.groupBy("sentence", "band", "value").agg(F.min("label").alias("least"))
-        heard = each.select("sentence", "row", "band", "value").join(least, ["sentence", "band", "value"]).groupBy("sentence", "row").agg(F.min("least").alias("label"))
-        labelled = labelled.drop("label").join(heard, ["sentence", "row"])
-    return labelled.groupBy("sentence", "label").agg(F.max("beside").alias("beside"))
+        least = each.join(labels, ["sentence", "row"]).groupBy("sentence", "band", "value").agg(F.min("label").alias("least"))
+        labels = cut(each.join(least, ["sentence", "band", "value"]).groupBy("sentence", "row").agg(F.min("least").alias("label")))
+    return rows.join(labels, ["sentence", "row"]).groupBy("sentence", "label").agg(F.max("beside").alias("beside"))
 
 
 class Shared(NamedTuple):
