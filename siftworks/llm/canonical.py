@@ -179,8 +179,7 @@ def references(names: DataFrame, stops: DataFrame, hint=lambda df: df) -> DataFr
     forms = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [as_listed, in_order, shortened, made]).filter(F.length("form") >= F.when(F.col("footing") >= CUT, 2).otherwise(1))
     # A word of several entries stands for the one of whose shortest name it makes the largest part.
     standing = F.struct("footing", F.when(F.col("footing") == WORDS, F.coalesce("span", F.lit(0))).otherwise(0).alias("span"))
-    each = forms.groupBy("field", "form", "code").agg(F.min(standing).alias("s"))
-    best = each.groupBy("field", "form").agg(F.min("s").alias("best"), F.collect_set(F.struct("s", "code")).alias("all"))
+    best = forms.withColumn("s", standing).groupBy("field", "form").agg(F.min("s").alias("best"), F.collect_set(F.struct("s", "code")).alias("all"))
     alone = best.withColumn("codes", F.filter("all", lambda x: x["s"] == F.col("best"))).filter(F.size("codes") == 1).withColumn("footing", F.col("best.footing"))
     n = F.length("form")
     k = F.when(F.col("footing") >= INITIALS, 0).when(F.col("footing") == CUT, F.when(n >= LEAST_FUZZY_CUT, 1).otherwise(0)).when((F.col("footing") == WORDS) & (n < 5), 0).otherwise(edits(n))
