@@ -201,34 +201,23 @@ class Labels:
 
 
 def near_labels(texts: DataFrame, labels: DataFrame, least: float, block: int = BLOCK_LABELS) -> DataFrame:
-    """(text, label, points): the labels whose weighted ratio with a text is at least `least`. Both sides are distinct strings (`text`, `label`); the labels are packed into
-    blocks, each text meets each block once, and only labels that can reach `least` are scored."""
+    """(text, label, points): the labels whose weighted ratio with a text is at least `least`. Both sides are distinct strings (`text`, `label`); the labels are a bounded
+    vocabulary, broadcast in blocks of about `block`; each text meets each block once, and only labels that can reach `least` are scored."""
+    spark, schema = texts.sparkSession, "text string, label string, points double"
     n = max(1, -(-labels.count() // block))
     packed = labels.filter(F.col("label").isNotNull()).groupBy(F.pmod(F.xxhash64("label"), F.lit(n)).alias("_block")).agg(F.array_sort(F.collect_set("label")).alias("_labels"))
-    spread = texts.filter(F.col("text").isNotNull()).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[int, Labels] = {}
-        for pdf in batches:
-            rows = []
-            for text, number, listed in zip(pdf["text"], pdf["_block"], pdf["_labels"]):
-                if number not in ready:
-                    ready.clear()
-                    ready[number] = Labels(list(listed))
-                rows += [(text, label, points) for label, points in ready[number].near(text, least)]
-            yield pd.DataFrame(rows, columns=["text", "label", "points"])
-
-    # Texts are dealt out by block and hash, so that a task works on one block at a time; a block is sent to a task once per row batch at most.
-    slots = max(2, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    blocks = {r["_block"]: r["_labels"] for r in packed.toLocalIterator()} if n == 1 else None
-    if blocks is not None:
-        # One block, whose size is bounded: it travels with the task.
-        listed = [str(x) for x in blocks.get(0, [])]
-
-        def run_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ready = Labels(listed)
+    # Few texts may mean much scoring: they are dealt out first.
+    slots = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    asked = texts.filter(F.col("text").isNotNull()).select("text").repartition(slots, "text")
+    out = None
+    for r in packed.toLocalIterator():
+        sent = spark.sparkContext.broadcast([str(x) for x in r["_labels"]])
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ready = Labels(sent.value)
             for pdf in batches:
                 yield pd.DataFrame([(t, label, points) for t in pdf["text"] for label, points in ready.near(t, least)], columns=["text", "label", "points"])
 
-        return texts.filter(F.col("text").isNotNull()).select("text").repartition(slots, "text").mapInPandas(run_one, "text string, label string, points double")
-    return spread.join(packed, "_block").repartition(slots, "_block", "text").mapInPandas(run, "text string, label string, points double")
+        part = asked.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
